@@ -76,21 +76,26 @@ def reliability_curve_quantile(df: DataFrame, y: str, p: str, n_bins: int = 8) -
     The quantile edges are read off the running counts of distinct p, with linear interpolation between ranks.
     """
     cells = running_before(score_cells(df, p, y), ["n"])
-    edges = quantile_edges(cells, [i / n_bins for i in range(n_bins + 1)]).scalar()
-    inner = F.slice(edges, 2, n_bins - 1)
-    binned = cells.withColumn("bin", F.size(F.filter(inner, lambda e: e < F.col("x"))))
+    inner = quantile_edges(cells, [i / n_bins for i in range(1, n_bins)])
+    binned = cells.withColumn("_edges", inner.scalar()).withColumn(
+        "bin", F.size(F.filter("_edges", lambda e: e < F.col("x"))))
     return binned.groupBy("bin").agg(F.sum("n").alias("loans"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("predicted"),
                                      (F.sum("bad") / F.sum("n")).alias("observed"))
 
 
 def quantile_edges(cells: DataFrame, shares: Sequence[float]) -> DataFrame:
     """One row holding the array of linearly interpolated quantiles, from cells with before_n / total_n."""
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)]))
-    position = F.col("q.share") * (F.col("total_n") - 1)
-    low, high = F.floor(position), F.ceil(position)
-    inside = lambda r: (F.col("before_n") <= r) & (r < F.col("before_n") + F.col("n"))
-    picked = cells.withColumn("q", wanted).filter(inside(low) | inside(high)).groupBy(F.col("q.i").alias("i")).agg(
-        F.min("x").alias("a"), F.max("x").alias("b"), F.max(position - low).alias("f"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("share")) for i, s in enumerate(shares)])
+
+    def position(q):
+        return q["share"] * (F.col("total_n") - 1)
+
+    def here(rank):
+        return (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
+
+    touching = F.filter(wanted, lambda q: here(F.floor(position(q))) | here(F.ceil(position(q))))
+    picked = cells.withColumn("q", F.explode(touching)).groupBy(F.col("q.i").alias("i")).agg(
+        F.min("x").alias("a"), F.max("x").alias("b"), F.max(position(F.col("q")) - F.floor(position(F.col("q")))).alias("f"))
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
     ordered = F.sort_array(F.collect_list(F.struct(F.col("i"), value.alias("v"))))
     return picked.agg(F.transform(ordered, lambda s: s["v"]).alias("edges"))

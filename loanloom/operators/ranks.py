@@ -27,8 +27,9 @@ def with_bucket(cells: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     equal values always share a bucket and buckets are ordered, so the results below do not depend on them.
     """
     points = [i / buckets for i in range(1, buckets)]
-    bounds = cells.agg(F.percentile_approx("x", points, F.lit(1000))).scalar()
-    return cells.withColumn("bucket", F.size(F.filter(bounds, lambda b: b < F.col("x"))))
+    bounds = cells.agg(F.percentile_approx("x", points, F.lit(1000)))
+    return (cells.withColumn("_bounds", bounds.scalar())
+            .withColumn("bucket", F.size(F.filter("_bounds", lambda b: b < F.col("x")))).drop("_bounds"))
 
 
 def running_before(cells: DataFrame, sums: Sequence[str], by: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
@@ -62,10 +63,13 @@ def bin_cuts(df: DataFrame, score: str, n_bins: int) -> DataFrame:
     Bin k of N ranked rows ends at rank floor((k+1)(N-1)/n_bins) + 1, the interval rule of equal-count quantile cuts.
     """
     cells = running_before(score_cells(df, score, None), ["n"])
-    k = F.explode(F.sequence(F.lit(0), F.lit(max(n_bins - 2, 0))))
-    last_rank = F.floor((F.col("k") + 1) * (F.col("total_n") - 1) / n_bins) + 1
-    holding = (cells.withColumn("k", k).filter((F.col("before_n") < last_rank) & (last_rank <= F.col("before_n") + F.col("n"))))
-    cut = F.struct(F.col("k"), F.col("x"), (last_rank - F.col("before_n")).alias("stay"), F.col("n").alias("tied"))
+    def last_rank(k):
+        return F.floor((k + 1) * (F.col("total_n") - 1) / n_bins) + 1
+
+    ends_here = F.filter(F.sequence(F.lit(0), F.lit(max(n_bins - 2, 0))), lambda k: (F.col("before_n") < last_rank(k))
+                         & (last_rank(k) <= F.col("before_n") + F.col("n")))
+    holding = cells.withColumn("k", F.explode(ends_here))
+    cut = F.struct(F.col("k"), F.col("x"), (last_rank(F.col("k")) - F.col("before_n")).alias("stay"), F.col("n").alias("tied"))
     return holding.agg(F.sort_array(F.collect_list(cut)).alias("cuts"))
 
 
@@ -75,12 +79,11 @@ def equal_size_bins(df: DataFrame, score: str, key: str, n_bins: int, out: str =
     Rows are compared with the few cut scores.  Only rows tied with a score that straddles a cut need a rank, and that
     rank is computed in hash slices of the tied group, so a score shared by a third of the rows is no hot spot.
     """
-    cuts = bin_cuts(df, score, n_bins).scalar()
-    x = F.col(score).cast("double")
+    x, cuts = F.col(score).cast("double"), F.col("_cuts")
     below = F.size(F.filter(cuts, lambda c: c["x"] < x))
     straddled = F.exists(cuts, lambda c: (c["x"] == x) & (c["stay"] < c["tied"]))
-    base = df.filter(F.col(score).isNotNull())
-    calm = base.filter(~straddled).withColumn(out, below)
+    base = df.filter(F.col(score).isNotNull()).withColumn("_cuts", bin_cuts(df, score, n_bins).scalar())
+    calm = base.filter(~straddled).withColumn(out, below).drop("_cuts")
 
     slices = 64
     u = hashing.uniform32(F.col(key), salt)

@@ -105,7 +105,7 @@ _EDGES = ", ".join(f"quantile_cont(pd,{i}/8.0)" for i in range(1, 8))
 
 @query("reliability_curve_quantile", f"""
     WITH e AS (SELECT [{_EDGES}] AS edges FROM v)
-    SELECT CAST(len(list_filter(edges, z -> z < pd)) AS integer) AS bin, CAST(count(*) AS bigint) AS loans, round(avg(pd),6) AS predicted,
+    SELECT CAST(len(list_filter(edges, lambda z: z < pd)) AS integer) AS bin, CAST(count(*) AS bigint) AS loans, round(avg(pd),6) AS predicted,
       round(avg(y),6) AS observed FROM v, e GROUP BY 1""")
 def _(spark, sf):
     return rounded(metrics.reliability_curve_quantile(validation(spark, sf), "y", "pd"), "predicted", "observed")
