@@ -12,7 +12,7 @@ from loanloom import settings as S
 from loanloom.functions import hashing
 from loanloom.functions.stats import clip, level_error, level_flag, logit_shift, psi_flag, psi_term, safe_ratio
 from loanloom.operators.metrics import evaluate_cells
-from loanloom.operators.ranks import score_cells
+from loanloom.operators.ranks import hash_cut, score_cells, within_cut
 from loanloom.operators.scoring import band_columns, score_batch
 from loanloom.session import write_scratch
 
@@ -100,27 +100,12 @@ def perturb_new_category(df: DataFrame, feature: str, value: str, share: float,
 
 
 def perturb_default_rate(df: DataFrame, factor: float, key: str, seed: str) -> DataFrame:
-    """Flip zeros to one, in hash order, until the defaults reach ``factor`` times their number (half-even rounding).
-
-    The cut is found on hash slices: whole slices of zeros are flipped by their totals and only the slice holding the
-    cut is ranked row by row.
-    """
-    slices = 1024
-    u = hashing.uniform32(F.col(key), seed)
-    zeros = df.filter(F.col("y") == 0).select(F.col(key).alias("_k"), u.alias("_u"))
-    zeros = zeros.withColumn("_s", F.floor(F.col("_u") * slices / hashing.SPAN))
-    sums = df.agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-    extra = sums.select(F.greatest(F.least(F.bround(F.col("bad") * F.lit(float(factor))).cast("bigint"), F.col("n")) - F.col("bad"), F.lit(0)))
-    per_slice = zeros.groupBy("_s").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = per_slice.withColumn("_before", before).withColumn("_extra", extra.scalar())
-    edge = placed.filter((F.col("_before") < F.col("_extra")) & (F.col("_extra") <= F.col("_before") + F.col("_n")))
-    ranked = zeros.join(edge.select("_s", (F.col("_extra") - F.col("_before")).alias("_take")), "_s").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_u", "_k")))
-    cut = ranked.filter(F.col("_rank") <= F.col("_take")).agg(F.max(F.struct("_u", "_k")))
-    total_zeros = per_slice.agg(F.sum("_n"))
-    everyone = placed.agg(F.max("_extra")).scalar() >= total_zeros.scalar()
-    flip = (F.col("y") == 0) & (everyone | F.coalesce(F.struct(u.alias("_u"), F.col(key).alias("_k")) <= F.col("_cut"), F.lit(False)))
+    """Flip zeros to one, in hash order, until the defaults reach ``factor`` times their number (half-even rounding)."""
+    bad = df.agg(F.sum("y"), F.count(F.lit(1)))
+    sums = bad.toDF("bad", "n").select((F.least(F.bround(F.col("bad") * F.lit(float(factor))).cast("bigint"), F.col("n")) - F.col("bad")).alias("extra"))
+    zeros = df.filter(F.col("y") == 0).select(key)
+    cut = hash_cut(zeros, key, seed, sums.scalar())
+    flip = (F.col("y") == 0) & within_cut(key, seed, F.col("_cut"))
     return df.withColumn("_cut", cut.scalar()).withColumn("y", F.when(flip, 1).otherwise(F.col("y"))).drop("_cut")
 
 
@@ -139,10 +124,9 @@ def perturb(df: DataFrame, spec: Mapping, key: str, seed: str) -> DataFrame:
 
 def sample_and_rest(df: DataFrame, size: int, key: str, seed: str) -> tuple[DataFrame, DataFrame]:
     """Exactly ``size`` rows in hash order, and all the others: one comparison with the last sampled row."""
-    place = F.struct(hashing.uniform32(F.col(key), seed).alias("u"), F.col(key).alias("k"))
-    last = df.select(place.alias("p")).orderBy("p").limit(size).agg(F.max("p")).scalar()
-    tagged = df.withColumn("_last", last)
-    return tagged.filter(place <= F.col("_last")).drop("_last"), tagged.filter(place > F.col("_last")).drop("_last")
+    tagged = df.withColumn("_cut", hash_cut(df.select(key), key, seed, F.lit(size)).scalar())
+    inside = within_cut(key, seed, F.col("_cut"))
+    return tagged.filter(inside).drop("_cut"), tagged.filter(~inside).drop("_cut")
 
 
 def drift_drill_grid(record: Mapping, pool: DataFrame, key: str = "loan_seq", size: int | None = None,

@@ -96,3 +96,38 @@ def equal_size_bins(df: DataFrame, score: str, key: str, n_bins: int, out: str =
     ranked = tied.join(offsets, ["_x", "_slice"]).withColumn("_rank", rank)
     passed = F.size(F.filter(cuts, lambda c: (c["x"] == x) & (F.col("_rank") > c["stay"])))
     return calm.unionByName(ranked.withColumn(out, below + passed).select(*df.columns, out))
+
+
+def hash_cut(df: DataFrame, key: str, seed: str, quota, by: Sequence[str] = (), slices: int = 1024) -> DataFrame:
+    """The (hash, key) position up to which exactly ``quota`` rows of each group lie in hash order.
+
+    ``quota`` is a column over ``total`` (rows of the group).  Whole hash slices are counted; only the slice holding
+    the cut is ranked, so no group is ordered as a whole.  A quota of zero gives a NULL cut.
+    """
+    base = df.select(*by, F.col(key).alias("k"), hashing.uniform32(F.col(key), seed).alias("u"))
+    base = base.withColumn("slice", F.floor(F.col("u") * slices / hashing.SPAN))
+    counts = base.groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("n").over(group.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumn("before", before).withColumn("total", F.sum("n").over(group)).withColumn(
+        "quota", F.least(quota.cast("bigint"), F.col("total")))
+    edge = placed.filter((F.col("before") < F.col("quota")) & (F.col("quota") <= F.col("before") + F.col("n")))
+    take = edge.select(*by, "slice", (F.col("quota") - F.col("before")).alias("take"))
+    rank = F.row_number().over(Window.partitionBy(*by, "slice").orderBy("u", "k"))
+    inside = base.join(take, [*by, "slice"]).withColumn("rank", rank).filter(F.col("rank") <= F.col("take"))
+    return inside.groupBy(*by).agg(F.max(F.struct("u", "k")).alias("cut"))
+
+
+def within_cut(key: str, seed: str, cut):
+    """Whether a row lies at or before the cut."""
+    place = F.struct(hashing.uniform32(F.col(key), seed).alias("u"), F.col(key).alias("k"))
+    return F.coalesce(place <= cut, F.lit(False))
+
+
+def exact_medians(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Median of x per group from (group, x, n) cells, middle values averaged."""
+    ranked = running_before(cells, ["n"], by)
+    low, high = F.floor((F.col("total_n") - 1) / 2), F.ceil((F.col("total_n") - 1) / 2)
+    holds = lambda r: (F.col("before_n") <= r) & (r < F.col("before_n") + F.col("n"))
+    middle = ranked.filter(holds(low) | holds(high))
+    return middle.groupBy(*by).agg(((F.min("x") + F.max("x")) / 2).alias("median"))
