@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom import settings as S
-from loanloom.functions.bands import band_count, band_index, band_labels, band_lookup
+from loanloom.functions.bands import band_count, band_index, band_labels, band_lookup, literal
 from loanloom.operators.ranks import running_before
 from loanloom.session import write_scratch
 
@@ -65,15 +65,15 @@ def supervised_edges(cells: DataFrame, totals: Mapping[str, int], cfg: Mapping =
 
 
 def _best_splits(ranked: DataFrame, leaves: Mapping[str, list], smallest: Mapping[str, int]) -> dict[str, list]:
-    flat = [(f, i, leaf) for f, items in leaves.items() for i, leaf in enumerate(items)]
-    pick = None
-    for f, i, (low, high, n0, bad0, n, bad) in flat:
-        inside = F.col("feature") == f
-        inside = inside if low is None else inside & (F.col("x") > low)
-        inside = inside if high is None else inside & (F.col("x") <= high)
-        value = F.struct(F.lit(i).alias("leaf"), F.lit(int(n0)).alias("n0"), F.lit(int(bad0)).alias("bad0"), F.lit(int(n)).alias("ln"),
-                         F.lit(int(bad)).alias("lbad"), F.lit(smallest[f]).alias("least"))
-        pick = F.when(inside, value) if pick is None else pick.when(inside, value)
+    cases = []
+    for f, items in leaves.items():
+        for i, (low, high, n0, bad0, n, bad) in enumerate(items):
+            inside = [f"feature = {literal(f)}"]
+            inside += [] if low is None else [f"x > {literal(float(low))}"]
+            inside += [] if high is None else [f"x <= {literal(float(high))}"]
+            cases.append(f"WHEN {' AND '.join(inside)} THEN named_struct('leaf', {i}, 'n0', {n0}L, 'bad0', {bad0}L, 'ln', {n}L, "
+                         f"'lbad', {bad}L, 'least', {smallest[f]}L)")
+    pick = F.expr(f"CASE {' '.join(cases)} END")
     leaf = F.col("l")
     left_n = F.col("before_n") + F.col("n") - leaf["n0"]
     left_bad = F.col("before_bad") + F.col("bad") - leaf["bad0"]
@@ -94,7 +94,7 @@ def _midpoints(ranked: DataFrame, cuts: Mapping[str, list[float]]) -> dict[str,
     wanted = [(f, x) for f, xs in cuts.items() for x in xs]
     if not wanted:
         return {f: [] for f in cuts}
-    nexts = ranked.agg(*[F.min(F.when((F.col("feature") == f) & (F.col("x") > x), F.col("x"))).alias(f"m{i}")
+    nexts = ranked.agg(*[F.expr(f"min(CASE WHEN feature = {literal(f)} AND x > {literal(float(x))} THEN x END) AS m{i}")
                          for i, (f, x) in enumerate(wanted)]).first()
     out: dict[str, list[float]] = {f: [] for f in cuts}
     for i, (f, x) in enumerate(wanted):
@@ -119,7 +119,7 @@ def fit_bins(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequenc
 
 def band_cells(df: DataFrame, specs: Mapping[str, Mapping], y: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, feature, band) -> n, bad; one shuffle for all features."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), band_index(F.col(f), s).alias("band")) for f, s in specs.items()]))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), band_index(f, s).alias("band")) for f, s in specs.items()]))
     rows = df.select(*by, F.col(y).cast("bigint").alias("_y"), pairs.alias("b"))
     return rows.groupBy(*by, "b.feature", "b.band").agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("bad"))
 
@@ -155,7 +155,7 @@ def information_value(table: DataFrame, by: Sequence[str] = (), min_iv: float =
 
 
 def woe_column(feature: str, spec: Mapping, woe: Sequence[float]) -> Column:
-    return band_lookup(F.col(feature), spec, [float(w) for w in woe])
+    return band_lookup(feature, spec, [float(w) for w in woe])
 
 
 def woe_by_band(table_rows, specs: Mapping[str, Mapping]) -> dict[str, list[float]]:

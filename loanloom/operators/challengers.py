@@ -145,7 +145,7 @@ def platt_calibrate(df: DataFrame, p: str, y: str) -> Platt:
     from loanloom.operators.scorecard import fit_logistic
 
     cells = _probability_cells(df, p, y).withColumn("z", logit(F.col("x"), S.PROBABILITY_EPS))
-    model = fit_logistic(cells, ["z"], "_y", "_n", None, tol=1e-10)
+    model = fit_logistic(cells, ["z"], "_y", "_n", None)
     return Platt(float(model.coefficients[0]), float(model.intercept))
 
 

@@ -77,7 +77,7 @@ class Scorecard:
 POINTS_SCHEMA = "feature string, band int, label string, loans bigint, defaults bigint, default_rate double, woe double, points double"
 
 
-def fit_logistic(cells: DataFrame, inputs: Sequence[str], y: str, weight: str, penalty_rows: float | None, tol: float = 1e-9):
+def fit_logistic(cells: DataFrame, inputs: Sequence[str], y: str, weight: str, penalty_rows: float | None, tol: float = 1e-7):
     """L2 logistic regression on weighted rows; the penalty follows C = 1 on a summed loss (None: no penalty)."""
     assembled = VectorAssembler(inputCols=list(inputs), outputCol="_x").transform(cells)
     reg = 0.0 if penalty_rows is None else 1.0 / penalty_rows
@@ -100,7 +100,7 @@ def fit_scorecard(df: DataFrame, y: str = "y", numeric: Sequence[str] = tuple(S.
     selected = [f for f in specs if iv[f] >= bound]
     if not selected:
         raise ValueError(f"no feature reaches an information value of {bound}")
-    cells = df.select(F.col(y).cast("double").alias("_y"), *[band_index(F.col(f), specs[f]).alias(f"b_{f}") for f in selected])
+    cells = df.select(F.col(y).cast("double").alias("_y"), *[band_index(f, specs[f]).alias(f"b_{f}") for f in selected])
     cells = cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
     inputs = [F.element_at(F.array(*[F.lit(float(w)) for w in woe[f]]), F.col(f"b_{f}") + 1).alias(f"woe_{f}") for f in selected]
     model = fit_logistic(cells.select("_y", "_n", *inputs), [f"woe_{f}" for f in selected], "_y", "_n", float(df.count()))

@@ -94,7 +94,7 @@ def validate_model(record: Mapping) -> Mapping:
 
 def feature_points(record: Mapping, name: str) -> Column:
     spec = record["features"][name]
-    return band_lookup(F.col(name), spec, [float(p) for p in spec["points"]])
+    return band_lookup(name, spec, [float(p) for p in spec["points"]])
 
 
 def score_column(record: Mapping) -> Column:
@@ -115,7 +115,7 @@ def score_batch(record: Mapping, df: DataFrame) -> DataFrame:
 
 
 def band_columns(record: Mapping) -> dict[str, Column]:
-    return {f: band_index(F.col(f), record["features"][f]) for f in record["feature_order"]}
+    return {f: band_index(f, record["features"][f]) for f in record["feature_order"]}
 
 
 def reasons_column(record: Mapping, top_k: int = S.TOP_REASONS, min_points: float = S.MIN_POINTS_LOST) -> Column:
@@ -127,7 +127,7 @@ def reasons_column(record: Mapping, top_k: int = S.TOP_REASONS, min_points: floa
             lost = F.lit(float(record["best_points"][f])) - feature_points(record, f)
             entries.append(F.struct((-lost).alias("sort"), F.lit(pos).alias("pos"), F.lit(code["code"]).alias("code"),
                                     F.lit(f).alias("feature"), F.lit(code["phrase"]).alias("phrase"),
-                                    band_lookup(F.col(f), record["features"][f], record["features"][f]["labels"]).alias("band"),
+                                    band_lookup(f, record["features"][f], record["features"][f]["labels"]).alias("band"),
                                     lost.alias("points_lost")))
     ordered = F.slice(F.sort_array(F.array(*entries)), 1, top_k)
     kept = F.filter(ordered, lambda r: r["points_lost"] >= min_points)
@@ -140,7 +140,7 @@ def explain_batch(record: Mapping, df: DataFrame, top_k: int = S.TOP_REASONS, mi
     order = record["feature_order"]
     points = F.create_map(*[c for f in order for c in (F.lit(f), feature_points(record, f))])
     bands = F.create_map(*[c for f in order for c in (
-        F.lit(f), band_lookup(F.col(f), record["features"][f], record["features"][f]["labels"]))])
+        F.lit(f), band_lookup(f, record["features"][f], record["features"][f]["labels"]))])
     return (score_batch(record, df).withColumn("points", points).withColumn("bands", bands)
             .withColumn("reasons", reasons_column(record, top_k, min_points)))
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from loanloom.plans.registry import ORACLES, QUERIES
 
-for _part in ("preparation", "summaries", "risk", "assurance", "memos", "modelling"):
+for _part in ("preparation", "summaries", "risk", "assurance", "memos", "modelling", "streams"):
     import_module(f"loanloom.plans.{_part}")
 
 __all__ = ["ORACLES", "QUERIES"]

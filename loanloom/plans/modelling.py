@@ -17,7 +17,7 @@ from loanloom.session import write_scratch
 from loanloom.sources.readers import load_split_guarded
 
 NUMERIC = ["credit_score", "dti", "rate_spread", "ltv", "cltv", "several_borrowers", "mi_pct", "orig_term"]
-CATEGORICAL = ["purpose", "channel", "occupancy"]
+CATEGORICAL = ["purpose", "channel"]
 MIN_IV = 0.0005  # the shared tables carry almost no signal, so features are kept at a far lower information value
 
 
@@ -223,9 +223,9 @@ def _(spark, sf):
 
 
 @query("nearest_neighbours", """
-    WITH v AS (SELECT vec_id, embedding FROM embeddings), d AS (SELECT a.vec_id AS key, b.vec_id AS neighbour,
-      list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: (z[1]::double-z[2]::double)*(z[1]::double-z[2]::double))) AS g FROM v a JOIN v b ON a.vec_id<>b.vec_id)
-    SELECT key, max(round(g,4)) AS fifth, CAST(count(*) AS bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY g, neighbour) AS r FROM d) WHERE r<=5 GROUP BY 1""")
+    WITH vectors AS (SELECT vec_id, embedding FROM embeddings), dist AS (SELECT a.vec_id AS key, b.vec_id AS neighbour,
+      list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: (z[1]::double-z[2]::double)*(z[1]::double-z[2]::double))) AS g FROM vectors a JOIN vectors b ON a.vec_id<>b.vec_id)
+    SELECT key, max(round(g,4)) AS fifth, CAST(count(*) AS bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY g, neighbour) AS r FROM dist) WHERE r<=5 GROUP BY 1""")
 def _(spark, sf):
     """Exact neighbours of every embedding: the distance of the fifth one."""
     vectors = loans.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))

@@ -221,7 +221,7 @@ def training_ranges(df, columns):
 @query("assign_band", "SELECT loan_seq, " + ", ".join(f"{band_index_case(f, s)} AS {f}_band" for f, s in ADOPTED.items()) + " FROM inputs")
 def _(spark, sf):
     df = loans.with_borrower_flag(loans.features(spark, sf))
-    return df.select("loan_seq", *[band_index(F.col(f), s).alias(f"{f}_band") for f, s in ADOPTED.items()])
+    return df.select("loan_seq", *[band_index(f, s).alias(f"{f}_band") for f, s in ADOPTED.items()])
 
 
 def _labels(spec):
@@ -235,7 +235,7 @@ def _(spark, sf):
     """Loans per labelled band of every feature, one shuffle for all features."""
     from loanloom.functions.bands import band_lookup
     df = loans.with_borrower_flag(loans.features(spark, sf))
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), band_lookup(F.col(f), s, _labels(s)).alias("band"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), band_lookup(f, s, _labels(s)).alias("band"))
                                 for f, s in ADOPTED.items()])).alias("b")
     return df.select(pairs).groupBy("b.feature", "b.band").agg(F.count(F.lit(1)).alias("loans"))
 
