@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom import settings as S
-from loanloom.functions.bands import band_count, band_index, band_labels, band_lookup, literal
+from loanloom.functions.bands import band_count, band_index, band_labels, band_lookup
 from loanloom.operators.ranks import running_before
 from loanloom.session import write_scratch
 
@@ -65,23 +65,19 @@ def supervised_edges(cells: DataFrame, totals: Mapping[str, int], cfg: Mapping =
 
 
 def _best_splits(ranked: DataFrame, leaves: Mapping[str, list], smallest: Mapping[str, int]) -> dict[str, list]:
-    cases = []
-    for f, items in leaves.items():
-        for i, (low, high, n0, bad0, n, bad) in enumerate(items):
-            inside = [f"feature = {literal(f)}"]
-            inside += [] if low is None else [f"x > {literal(float(low))}"]
-            inside += [] if high is None else [f"x <= {literal(float(high))}"]
-            cases.append(f"WHEN {' AND '.join(inside)} THEN named_struct('leaf', {i}, 'n0', {n0}L, 'bad0', {bad0}L, 'ln', {n}L, "
-                         f"'lbad', {bad}L, 'least', {smallest[f]}L)")
-    pick = F.expr(f"CASE {' '.join(cases)} END")
-    leaf = F.col("l")
-    left_n = F.col("before_n") + F.col("n") - leaf["n0"]
-    left_bad = F.col("before_bad") + F.col("bad") - leaf["bad0"]
-    right_n, right_bad = leaf["ln"] - left_n, leaf["lbad"] - left_bad
-    allowed = (left_n >= leaf["least"]) & (right_n >= leaf["least"]) & (leaf["lbad"] > 0) & (leaf["lbad"] < leaf["ln"])
-    gain = _gini(leaf["ln"], leaf["lbad"]) - _gini(left_n, left_bad) - _gini(right_n, right_bad)
-    best = F.max_by(F.struct("x", left_n.alias("left_n"), left_bad.alias("left_bad"), gain.alias("gain")), F.struct(gain, -F.col("x")))
-    rows = ranked.withColumn("l", pick).filter(F.col("l").isNotNull() & allowed).groupBy("feature", "l.leaf").agg(best.alias("b")).collect()
+    flat = [(f, i, low, high, n0, bad0, n, bad, smallest[f]) for f, items in leaves.items() for i, (low, high, n0, bad0, n, bad) in enumerate(items)]
+    # two rows per feature at most; their known size makes this a broadcast join
+    table = ranked.sparkSession.createDataFrame(
+        flat, "feature string, leaf int, low double, high double, n0 bigint, bad0 bigint, ln bigint, lbad bigint, least bigint")
+    c = F.col
+    inside = ((c("low").isNull() | (c("x") > c("low"))) & (c("high").isNull() | (c("x") <= c("high"))))
+    counted = ranked.join(table, "feature").filter(inside).select(
+        "feature", "leaf", "x", "ln", "lbad", "least", (c("before_n") + c("n") - c("n0")).alias("left_n"), (c("before_bad") + c("bad") - c("bad0")).alias("left_bad"))
+    right_n, right_bad = c("ln") - c("left_n"), c("lbad") - c("left_bad")
+    allowed = (c("left_n") >= c("least")) & (right_n >= c("least")) & (c("lbad") > 0) & (c("lbad") < c("ln"))
+    scored = counted.filter(allowed).withColumn("gain", _gini(c("ln"), c("lbad")) - _gini(c("left_n"), c("left_bad")) - _gini(right_n, right_bad))
+    best = F.max_by(F.struct("x", "left_n", "left_bad", "gain"), F.struct(c("gain"), -c("x")))
+    rows = scored.groupBy("feature", "leaf").agg(best.alias("b")).collect()
     out: dict[str, list] = {}
     for r in rows:
         b = r["b"]
@@ -94,11 +90,12 @@ def _midpoints(ranked: DataFrame, cuts: Mapping[str, list[float]]) -> dict[str,
     wanted = [(f, x) for f, xs in cuts.items() for x in xs]
     if not wanted:
         return {f: [] for f in cuts}
-    nexts = ranked.agg(*[F.expr(f"min(CASE WHEN feature = {literal(f)} AND x > {literal(float(x))} THEN x END) AS m{i}")
-                         for i, (f, x) in enumerate(wanted)]).first()
+    table = ranked.sparkSession.createDataFrame(wanted, "feature string, cut double")
+    nexts = {(r["feature"], r["cut"]): r["next"] for r in ranked.join(table, "feature").filter("x > cut").groupBy("feature", "cut").agg(
+        F.min("x").alias("next")).collect()}
     out: dict[str, list[float]] = {f: [] for f in cuts}
-    for i, (f, x) in enumerate(wanted):
-        out[f].append((x + nexts[f"m{i}"]) / 2)
+    for f, x in wanted:
+        out[f].append((x + nexts[f, x]) / 2)
     return {f: sorted(v) for f, v in out.items()}
 
 
