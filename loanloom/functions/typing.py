@@ -31,8 +31,9 @@ def allow_list(c: Column, allowed: Iterable[str]) -> Column:
 
 
 def month_start(c: Column) -> Column:
-    """First day of a ``YYYYMM`` month."""
-    return F.try_to_date(F.concat(c, F.lit("01")), "yyyyMMdd")
+    """First day of a six-digit ``YYYYMM`` month; anything else is NULL."""
+    iso = F.concat(F.substring(c, 1, 4), F.lit("-"), F.substring(c, 5, 2), F.lit("-01"))
+    return F.when(F.length(c) == 6, iso.try_cast("date"))
 
 
 def range_or_null(c: Column, low: float, high: float) -> Column:

@@ -13,7 +13,7 @@ from loanloom.operators import staging
 from loanloom.plans import loans
 from loanloom.plans.oracle import register, split_case, uniform32
 from loanloom.plans.registry import query
-from loanloom.session import scratch_dir
+from loanloom.session import scratch_dir, write_scratch
 from loanloom.sources import readers, sinks
 
 ORIG = ", ".join(S.ORIGINATION_COLUMNS)
@@ -358,9 +358,8 @@ def _(spark, sf):
 
 @query("feature_table", f"SELECT {FCOLS} FROM features")
 def _(spark, sf):
-    """The whole build from raw text views, nothing reused."""
+    """The whole build from the raw text layer: staging, labels, exclusions, spread and split, no staged table reused."""
     kept = feat.exclusion_filter(feat.join_labels(loans.staged_origination(spark, sf), loans.staged_label(spark, sf)))
-    from loanloom.session import write_scratch
     return rounded(feat.build_features(write_scratch(kept, "kept"), loans.DEV_MAX_VINTAGE, loans.OOT_1_MAX_VINTAGE),
                    "rate_spread")
 

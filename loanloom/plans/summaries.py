@@ -242,7 +242,7 @@ def _(spark, sf):
 
 @query("score_batch", "SELECT loan_seq, round(score,6) AS score, round(pd,6) AS pd FROM scored")
 def _(spark, sf):
-    return rounded(loans.scored(spark, sf).select("loan_seq", "score", "pd"), "score", "pd")
+    return rounded(loans.scored_view(spark, sf).select("loan_seq", "score", "pd"), "score", "pd")
 
 
 @query("join_points_lookup", " UNION ALL ".join(
