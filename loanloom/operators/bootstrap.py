@@ -15,7 +15,7 @@ from loanloom.operators.metrics import evaluate_cells, percentile_ci
 
 
 def paired_bootstrap(df: DataFrame, y: str, arms: Sequence[str], resamples: int, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
-    """(by, b, arm) -> gini, ks, brier and predicted/observed of every resample, all arms on the same resampled rows.
+    """(by, resample, arm) -> gini, ks, brier and predicted/observed of every resample, all arms on the same resampled rows.
 
     Every row gets an independent Poisson(1) weight per resample.  Rows that agree on outcome and on all arms' PDs
     form one cell, whose total weight is Poisson(n): the draw is made per cell, so the work grows with distinct cells
@@ -25,7 +25,7 @@ def paired_bootstrap(df: DataFrame, y: str, arms: Sequence[str], resamples: int,
     cells = df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     cells = cells.withColumn("h", F.xxhash64(F.lit(seed), *keys))
     types = dict(cells.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", b int, w bigint"
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", resample int, w bigint"
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -35,16 +35,16 @@ def paired_bootstrap(df: DataFrame, y: str, arms: Sequence[str], resamples: int,
                                     for h, n in zip(part["h"].to_numpy().astype(object), part["n"])])
                 row, b = np.nonzero(weights)
                 out = part[keys].iloc[row].reset_index(drop=True)
-                out["b"] = b + 1
+                out["resample"] = b + 1
                 out["w"] = weights[row, b]
                 yield out
 
     drawn = cells.mapInPandas(draw, schema)
     long = F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).cast("double").alias("x")) for a in arms]))
-    weighted = drawn.select(*by, "b", "w", F.col(y).cast("bigint").alias("_y"), long.alias("a")).groupBy(*by, "b", "a.arm", "a.x").agg(
+    weighted = drawn.select(*by, "resample", "w", F.col(y).cast("bigint").alias("_y"), long.alias("a")).groupBy(*by, "resample", "a.arm", "a.x").agg(
         F.sum("w").alias("n"), F.sum(F.col("w") * F.col("_y")).alias("bad"))
-    out = evaluate_cells(weighted, [*by, "b", "arm"], ["default_rate", "mean_predicted_pd", "gini", "ks", "brier"])
-    return out.select(*by, "b", "arm", "gini", "ks", "brier", safe_ratio(F.col("mean_predicted_pd"), F.col("default_rate")).alias("pred_over_obs"))
+    out = evaluate_cells(weighted, [*by, "resample", "arm"], ["default_rate", "mean_predicted_pd", "gini", "ks", "brier"])
+    return out.select(*by, "resample", "arm", "gini", "ks", "brier", safe_ratio(F.col("mean_predicted_pd"), F.col("default_rate")).alias("pred_over_obs"))
 
 
 def interval_table(replicates: DataFrame, measures: Sequence[str] = ("gini", "ks", "brier", "pred_over_obs"), by: Sequence[str] = ("arm",)) -> DataFrame:
@@ -53,11 +53,11 @@ def interval_table(replicates: DataFrame, measures: Sequence[str] = ("gini", "ks
 
 
 def gini_differences(replicates: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
-    """(by, b, pair) -> difference of the two arms in the same resample."""
+    """(by, resample, pair) -> difference of the two arms in the same resample."""
     value = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("gini")))
-    wide = replicates.groupBy(*by, "b").agg(*[(value(a) - value(c)).alias(f"d{i}") for i, (a, c) in enumerate(pairs)])
+    wide = replicates.groupBy(*by, "resample").agg(*[(value(a) - value(c)).alias(f"d{i}") for i, (a, c) in enumerate(pairs)])
     long = F.explode(F.array(*[F.struct(F.lit(f"{a} minus {c}").alias("pair"), F.col(f"d{i}").alias("difference")) for i, (a, c) in enumerate(pairs)]))
-    return wide.select(*by, "b", long.alias("d")).select(*by, "b", "d.*")
+    return wide.select(*by, "resample", long.alias("d")).select(*by, "resample", "d.*")
 
 
 def gini_difference_ci(replicates: DataFrame, pairs: Sequence[tuple[str, str]], by: Sequence[str] = ()) -> DataFrame:
@@ -68,7 +68,7 @@ def gini_difference_ci(replicates: DataFrame, pairs: Sequence[tuple[str, str]],
 
 def mean_difference_verdict(replicates: DataFrame, pairs: Sequence[tuple[str, str]], vintage: str, margin: float = S.NON_INFERIORITY_MARGIN) -> DataFrame:
     """Mean difference over vintages per resample -> interval, non-inferior and superior flags."""
-    means = gini_differences(replicates, pairs, [vintage]).groupBy("pair", "b").agg(F.avg("difference").alias("difference"))
+    means = gini_differences(replicates, pairs, [vintage]).groupBy("pair", "resample").agg(F.avg("difference").alias("difference"))
     point = means.groupBy("pair").agg(F.avg("difference").alias("mean_difference"))
     return percentile_ci(means, "difference", ["pair"]).join(point, "pair").withColumn(
         "non_inferior", F.col("low") > -margin).withColumn("superior", F.col("low") > 0)

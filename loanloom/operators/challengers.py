@@ -232,7 +232,8 @@ def smote_oversample(train: DataFrame, y: str, key: str, columns: Sequence[str],
     near = nearest_neighbours(vectors, key, "v", k)
     cut = hash_cut(minority.select(key), key, seed, F.lit(need % r["bad"]))
     copies = need // r["bad"] + within_cut(key, seed, F.col("_cut")).cast("int")
-    based = vectors.withColumn("_cut", cut.scalar()).withColumn("_copies", copies).join(near, F.col("key") == F.col(key))
+    mates_of = near.select(F.col("key").alias("_of"), "neighbours")
+    based = vectors.withColumn("_cut", cut.scalar()).withColumn("_copies", copies).join(mates_of, F.col("_of") == F.col(key))
     each = based.filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     salt = F.concat(F.lit(seed + "|"), F.col("copy").cast("string"))
     chosen = F.get("neighbours", (hashing.uniform32(F.col(key), salt) % F.size("neighbours")).cast("int"))

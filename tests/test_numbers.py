@@ -235,7 +235,7 @@ def test_bootstrap_is_paired_and_centred(tied):
     both = df.withColumn("a", F.col("p")).withColumn("b", F.col("p"))
     reps = bootstrap.paired_bootstrap(both, "y", ["a", "b"], 60).cache()
 
-    g = {(r["b"], r["arm"]): r["gini"] for r in reps.collect()}
+    g = {(r["resample"], r["arm"]): r["gini"] for r in reps.collect()}
     assert all(g[i, "a"] == pytest.approx(g[i, "b"]) for i in range(1, 61))
     mean = np.mean([g[i, "a"] for i in range(1, 61)])
     assert mean == pytest.approx(2 * brute(pdf)[0] - 1, abs=0.03)
