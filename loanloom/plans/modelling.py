@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from loanloom import settings as S
 from loanloom.functions import hashing
 from loanloom.operators import binning, bootstrap, challengers, metrics, scorecard, scoring, stability
-from loanloom.operators.ranks import hash_cut, within_cut
 from loanloom.plans import loans
-from loanloom.plans.oracle import ADOPTED, band_case, band_index_case, register, uniform32
+from loanloom.plans.oracle import ADOPTED, band_index_case, register, uniform32
 from loanloom.plans.preparation import rounded
 from loanloom.plans.registry import query
 from loanloom.session import write_scratch
@@ -256,10 +255,7 @@ def _(spark, sf):
     """The staircase keeps the mean rate of its own rows and never falls with the PD."""
     cal = loans.scored(spark, sf).filter("split = 'calibration'").withColumn("pd", F.round("pd", 6))
     out = challengers.isotonic_calibrate(cal, "pd", "y").apply(cal, "pd", "q")
-    steps = out.groupBy("pd").agg(F.max("q").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("bad"))
-    falls = steps.join(steps.select(F.col("q").alias("q2")).distinct().agg(F.count(F.lit(1)).alias("levels")).withColumn("one", F.lit(1)),
-                       F.lit(1) == F.col("one"))
-    pairs = falls.groupBy("q").agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"), F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    pairs = out.groupBy("q").agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"), F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("q")
     return (pairs.withColumn("ok", F.coalesce(F.lag("hi").over(w) < F.col("lo"), F.lit(True)))
             .agg(F.round(F.sum("bad") / F.sum("n"), 4).alias("observed"), F.round(F.sum(F.col("q") * F.col("n")) / F.sum("n"), 4).alias("calibrated"),
