@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, license_scan, minhash, mixing, token_counts
+from loanloom.llm import byte_bpe, license_scan, minhash, mixing, repeats, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weights: words taken of each document, copies counted."""
     mixed = mixing.mix(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that an earlier document also has, removed from every document."""
+    return repeats.remove_repeats(documents(spark, sf_dir))
