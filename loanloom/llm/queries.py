@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, license_scan, minhash, mixing, repeats, token_counts
+from loanloom.llm import byte_bpe, curves, license_scan, minhash, mixing, pivots, quality, repeats, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,21 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of 50-byte strings that an earlier document also has, removed from every document."""
     return repeats.remove_repeats(documents(spark, sf_dir))
+
+
+@query("op5_quality")
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from preference pairs of labelled ones."""
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op3_hilbert_neighbours")
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth vector, by inner product."""
+    return curves.search(embeddings(spark, sf_dir))
+
+
+@query("op8_pivot_search")
+def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every twentieth vector."""
+    return pivots.search(embeddings(spark, sf_dir))
