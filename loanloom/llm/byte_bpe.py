@@ -24,10 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loanloom.llm.common import chunks
+
 #: Transitions, fitting pairs and words kept by a worker; a table is emptied when full, of words the older half.
 TRANSITIONS, PAIRS, WORDS = 400_000, 200_000, 120_000
 #: Longer words are not remembered.
 LONGEST = 64
+#: Characters of text encoded before their ids are handed on.
+CHUNK = 1 << 20
 
 _NEVER = 1 << 60  # the rank of what can't be joined
 _ANY_TOKEN = -2  # stands for the last emitted token in a state where it no longer matters
@@ -273,21 +277,25 @@ def decode_ids(ids: list[int], ranks_path: str, pattern: str, chunk: int = 4096)
     decoder.end()
 
 
-def tokenize(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: the key, ``ids`` (array of int) and ``decoded``, the text those ids decode to.
+def encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the key, ``ids`` (array of int), ``n_tokens`` and ``intact``, whether the ids decode to
+    the text.
 
-    Null and empty texts give no ids and an empty text; repeated rows and null keys give a row each; other columns are
-    left out.
+    Null and empty texts give no ids; repeated rows and null keys give a row each; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = list(encode_texts((t or "" for t in batch.column(1).to_pylist()), ranks_path, pattern))
-            texts = ["".join(decode_ids(x, ranks_path, pattern)) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())], [key, "ids", "decoded"])
+            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
+            for part in chunks(texts, map(len, texts), CHUNK):
+                ids = list(encode_texts(part, ranks_path, pattern))
+                intact = ["".join(decode_ids(x, ranks_path, pattern)) == t for x, t in zip(ids, part, strict=True)]
+                keys = batch.column(0).slice(at, len(part))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(intact)], [key, "ids", "n_tokens", "intact"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, decoded string")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_tokens long, intact boolean")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

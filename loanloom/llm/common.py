@@ -102,19 +102,33 @@ def _bit(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def may_match(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be among the keys of ``wanted`` (first column): all that are, and few others.
+def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows with ``_may``: whether their key may be among ``keys`` (first column).
 
-    Thins out a wide table before a join that decides.  The filter has ``FILTER_BITS`` bits, set by a distributed
-    aggregation; where there are more keys than bits it lets all rows pass, which costs time only.
+    The mark comes from a bitmap of ``FILTER_BITS`` bits that a distributed aggregation sets; with more keys than bits
+    it is true for all rows.  It never misses a key.
     """
-    bit = _bit(F.col(wanted.columns[0]))
-    maps = wanted.select(F.bitmap_bucket_number(bit).alias("_part"), F.bitmap_bit_position(bit).alias("bit"))
+    bit = _bit(F.col(keys.columns[0]))
+    maps = keys.select(F.bitmap_bucket_number(bit).alias("_part"), F.bitmap_bit_position(bit).alias("bit"))
     maps = maps.groupBy("_part").agg(F.bitmap_construct_agg("bit").alias("_bits"))  # 4 KB for each 32,768 bits
-    at = _bit(F.col(key))
-    placed = rows.withColumn("_part", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at)).join(F.broadcast(maps), "_part")
+    at = _bit(F.col(f"`{key}`"))
+    placed = rows.withColumn("_part", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at)).join(F.broadcast(maps), "_part", "left")
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return placed.filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0).select(rows.columns)
+    may = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0, F.lit(False))
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), may.alias("_may"))
+
+
+def may_match(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among the keys of ``wanted`` (first column): all that are, and few others.  Thins out a
+    wide table before the join that decides; beyond ``FILTER_BITS`` keys all rows pass, which costs time only."""
+    return _marked(rows, key, wanted).filter("_may").drop("_may")
+
+
+def without(rows: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
+    """The rows whose key isn't among the keys of ``unwanted`` (one column); only rows that may be are shuffled."""
+    marked = _marked(rows, key, unwanted)
+    close = marked.filter("_may").join(unwanted.select(F.col(unwanted.columns[0]).alias("_gone")), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
+    return marked.filter(~F.col("_may")).unionByName(close).drop("_may")
 
 
 def chunks(items: Iterable, sizes: Iterable[int], most: int):

@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanloom.llm.common import chunks, coefficients, jaccard_at_least, may_match, minima, set_key, shingles, word_hashes, words_of
+from loanloom.llm.common import chunks, coefficients, jaccard_at_least, may_match, minima, set_key, shingles, without, word_hashes, words_of
 from loanloom.llm.components import components
 from loanloom.session import write_scratch
 
 #: Bands and rows of a band: at a similarity of 0.85 all bands miss with a chance of 2e-8, at 0.8 of 4e-6.
 BANDS, ROWS = 30, 5
 SEED = 20
-#: How far below the threshold the share of agreeing places may lie for a pair to be checked: about six deviations.
-SLACK = 0.18
 #: Members of a bucket compared in one block.
 BLOCK = 512
 
@@ -35,9 +33,9 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     return [np.unique(shingles(word_hashes(words_of(t)), k)) for t in texts]
 
 
-def _features(k: int):
+def _features(k: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = coefficients(BANDS * ROWS, SEED)
+        a, b = coefficients(hashes, SEED)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             sigs, keys, sizes = [], [], []
@@ -53,18 +51,13 @@ def _features(k: int):
     return run
 
 
-def _agree(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """In how many places the signatures of each pair agree."""
-    x, y = (np.frombuffer(b"".join(s.to_pylist()), "<u2").reshape(-1, BANDS * ROWS) for s in (a, b))
-    return (x == y).sum(axis=1)
+def _alike(hashes: int, least: float):
+    """Pairs whose signatures agree in ``least`` places or more."""
 
-
-def _alike(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                keep = pa.array(_agree(batch.column(2), batch.column(3)) >= least * BANDS * ROWS)
-                yield batch.filter(keep).select(["a", "b"])
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, hashes) for i in (2, 3))
+            yield batch.filter(pa.array((x == y).sum(axis=1) >= least)).select(["a", "b"])
 
     return run
 
@@ -88,17 +81,20 @@ def _linked(percent: int):
     return run
 
 
-class _Links:
-    """The classes of a table of documents, and the check of candidate pairs of them."""
+class Links:
+    """The classes of a table of ``id`` and ``text``, and the links between them."""
 
-    def __init__(self, docs: DataFrame, k: int, percent: int):
-        self.docs, self.k, self.percent = docs, k, percent
+    def __init__(self, docs: DataFrame, k: int, percent: int, bands: int = BANDS, rows: int = ROWS):
+        self.docs, self.k, self.percent, self.hashes = docs, k, percent, bands * rows
+        share = percent / 100
+        # six deviations below the threshold: a link that lies below it is as good as impossible
+        self.least = self.hashes * share - 6 * (self.hashes * share * (1 - share)) ** 0.5
         long = docs.schema["id"].dataType.simpleString()
-        self.rows = write_scratch(docs.mapInArrow(_features(k), f"id {long}, n long, key long, sig binary"), "signatures")
+        self.rows = write_scratch(docs.mapInArrow(_features(k, self.hashes), f"id {long}, n long, key long, sig binary"), "signatures")
         full = self.rows.filter("n > 0 and id is not null")
         first = full.groupBy("key").agg(F.min(F.struct("id", "sig")).alias("f"))
         self.classes = write_scratch(first.select("key", F.col("f.id").alias("rep"), F.col("f.sig").alias("sig")), "classes")
-        band = F.array(*(F.xxhash64(F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS), F.lit(i)) for i in range(BANDS)))
+        band = F.array(*(F.xxhash64(F.substring("sig", 2 * rows * i + 1, 2 * rows), F.lit(i)) for i in range(bands)))
         self.members = self.classes.select("rep", F.explode(band).alias("bucket"))
         shared = self.members.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n"))
         self.buckets = write_scratch(shared.filter("n > 1 and first <> last"), "buckets")
@@ -106,10 +102,9 @@ class _Links:
     def check(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links: by signatures first, then on full sets; written."""
         sig = self.classes.select("rep", "sig")
-        least = self.percent / 100 - SLACK
         sides = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
         kind = sides.schema["a"].dataType.simpleString()
-        alike = write_scratch(sides.select("a", "b", "x", "y").mapInArrow(_alike(least), f"a {kind}, b {kind}"), "alike")
+        alike = write_scratch(sides.select("a", "b", "x", "y").mapInArrow(_alike(self.hashes, self.least), f"a {kind}, b {kind}"), "alike")
         ids = write_scratch(alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct(), "wanted")
         texts = may_match(self.docs, "id", ids).join(ids, "id", "left_semi")
         own = self.classes.select(F.col("rep").alias("id"), "key")
@@ -147,7 +142,7 @@ class _Links:
         other = F.explode(F.sequence(F.lit(0), blocks - 1))
         met = placed.withColumn("other", other).select("bucket", "rep", "comp", "sig", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         kind = met.schema["rep"].dataType.simpleString()
-        least = (self.percent / 100 - SLACK) * BANDS * ROWS
+        least = self.least
 
         def compare(block: pd.DataFrame) -> pd.DataFrame:
             lo, hi = block["lo"].iat[0], block["hi"].iat[0]
@@ -164,6 +159,13 @@ class _Links:
 
         return write_scratch(met.groupBy("bucket", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct(), "rest")
 
+    def same_set(self) -> DataFrame:
+        """Links between ids whose texts differ and whose sets don't."""
+        many = self.rows.filter("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a <> last")
+        many = write_scratch(many.select("key", "a"), "same")
+        same = may_match(self.rows.filter("n > 0").select("id", "key"), "key", many.select("key"))
+        return same.join(many, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+
     def linked(self) -> DataFrame:
         """Links enough to connect every component."""
         links = self.check(self.star())
@@ -183,10 +185,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     without words are linked with nothing; a null key has no component and is kept; rows that repeat a key are judged by
     their own texts; other columns are left out.
     """
-    found = _Links(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), k, percent)
+    found = Links(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), k, percent)
     reached = components(found.linked()).withColumnRenamed("node", "rep")
     classes = write_scratch(found.classes.select("key", "rep").join(reached, "rep", "left").select("key", F.coalesce("component", "rep").alias("component")), "components")
     rows = found.rows.select("id", "n", "key").withColumn("class", F.when(F.col("n") > 0, F.col("key"))).drop("key")
     placed = rows.join(classes.withColumnRenamed("key", "class"), "class", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return placed.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, without those documents that a group's least key stands for.
+
+    Rows that share a key are one document here, kept if any of them is; the other cases as in ``near_duplicates``.
+    """
+    judged = near_duplicates(docs, key, text, k, percent).filter(F.col(key).isNotNull())
+    gone = write_scratch(judged.groupBy(key).agg(F.bool_or("kept").alias("any")).filter(~F.col("any")).select(key), "gone")
+    return without(docs, key, gone)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.session import write_scratch
@@ -188,3 +188,18 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     part as rows of their own; without any words all targets are 0; other columns are left out.
     """
     return draw(docs.select(F.col(key), F.col(source), size_of(text).alias("size")), key, source, seed)
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with all their columns, each as often as it is taken.
+
+    The same defined cases as in ``mix``; equal rows share what is taken of them evenly.
+    """
+    rows = docs.withColumn("_row", F.xxhash64(key, source, text))
+    drawn = draw(rows.select("_row", source, size_of(text).alias("size")), "_row", source, seed)
+    taken = write_scratch(drawn.groupBy("_row").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_equal")).filter("_copies > 0"), "taken")
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    found = rows.join(taken, "_row").withColumn("_nth", nth)
+    times = F.expr("_copies div _equal + if(_nth <= _copies % _equal, 1, 0)").cast("int")
+    again = F.explode(F.array_repeat(F.lit(0), times))
+    return found.withColumn("_again", again).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, curves, license_scan, minhash, mixing, pivots, quality, repeats, token_counts
+from loanloom.llm import byte_bpe, curves, license_scan, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,3 +85,12 @@ def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth vector."""
     return pivots.search(embeddings(spark, sf_dir))
+
+
+@query("op6_paragraphs")
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the paragraphs and passages that an earlier document has, and what was cut out of it."""
+    cut = paragraphs.remove_paragraphs(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
+    first = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["first"])))
+    return cut.select("doc_id", "text", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", first.alias("earlier_docs"))
