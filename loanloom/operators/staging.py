@@ -16,11 +16,13 @@ _FREE_TEXT = ("msa", "amort_type", "state", "zip3", "seller_name", "program_indi
 _CODES = {"first_time_homebuyer": "YN", "occupancy": "PIS", "channel": "RBCT", "ppm_flag": "YN", "purpose": "PCNR",
           "super_conforming": "YN", "io_indicator": "YN", "property_type": ("SF", "PU", "CO", "MH", "CP")}
 
-STAGED_ORDER = (
-    "loan_seq vintage_year vintage_quarter credit_score first_payment_date maturity_date first_time_homebuyer msa mi_pct "
-    "n_units occupancy cltv dti orig_upb ltv int_rate channel ppm_flag amort_type state property_type zip3 purpose "
-    "orig_term n_borrowers seller_name super_conforming program_indicator relief_refi io_indicator"
-).split()
+# fixed values: column order of the staged table
+STAGED_ORDER = [
+    "loan_seq", "vintage_year", "vintage_quarter", "credit_score", "first_payment_date", "maturity_date",
+    "first_time_homebuyer", "msa", "mi_pct", "n_units", "occupancy", "cltv", "dti", "orig_upb", "ltv", "int_rate",
+    "channel", "ppm_flag", "amort_type", "state", "property_type", "zip3", "purpose", "orig_term", "n_borrowers",
+    "seller_name", "super_conforming", "program_indicator", "relief_refi", "io_indicator",
+]
 
 
 def _typed(name: str):

@@ -6,28 +6,31 @@ Everything here is data, not logic.  Values that results depend on are stated pl
 from __future__ import annotations
 
 # --- fixed values: raw column layout -------------------------------------------------------------
-ORIGINATION_COLUMNS = (
-    "credit_score first_payment_date first_time_homebuyer maturity_date msa mi_pct n_units occupancy cltv dti "
-    "orig_upb ltv int_rate channel ppm_flag amort_type state property_type zip3 loan_seq purpose orig_term "
-    "n_borrowers seller_name super_conforming pre_relief_loan_seq program_indicator relief_refi "
-    "property_valuation_method io_indicator unused_31"
-).split()
-
-PERFORMANCE_COLUMNS = (
-    "loan_seq report_period current_upb delinq_status loan_age months_remaining defect_settlement_date "
-    "modification_flag zero_balance_code zero_balance_date current_int_rate current_non_int_upb ddlpi mi_recoveries "
-    "net_sale_proceeds non_mi_recoveries total_expenses legal_costs maintenance_costs taxes_insurance misc_expenses "
-    "actual_loss cum_mod_cost step_mod_indicator payment_deferral_flag eltv zero_balance_removal_upb "
-    "delinquent_accrued_interest disaster_flag borrower_assist_code current_month_mod_cost interest_bearing_upb "
-    "mi_cancel_indicator servicer_name unused_35"
-).split()
+ORIGINATION_COLUMNS = [
+    "credit_score", "first_payment_date", "first_time_homebuyer", "maturity_date", "msa", "mi_pct", "n_units",
+    "occupancy", "cltv", "dti", "orig_upb", "ltv", "int_rate", "channel", "ppm_flag", "amort_type", "state",
+    "property_type", "zip3", "loan_seq", "purpose", "orig_term", "n_borrowers", "seller_name", "super_conforming",
+    "pre_relief_loan_seq", "program_indicator", "relief_refi", "property_valuation_method", "io_indicator",
+    "unused_31",
+]
+
+PERFORMANCE_COLUMNS = [
+    "loan_seq", "report_period", "current_upb", "delinq_status", "loan_age", "months_remaining",
+    "defect_settlement_date", "modification_flag", "zero_balance_code", "zero_balance_date", "current_int_rate",
+    "current_non_int_upb", "ddlpi", "mi_recoveries", "net_sale_proceeds", "non_mi_recoveries", "total_expenses",
+    "legal_costs", "maintenance_costs", "taxes_insurance", "misc_expenses", "actual_loss", "cum_mod_cost",
+    "step_mod_indicator", "payment_deferral_flag", "eltv", "zero_balance_removal_upb", "delinquent_accrued_interest",
+    "disaster_flag", "borrower_assist_code", "current_month_mod_cost", "interest_bearing_upb", "mi_cancel_indicator",
+    "servicer_name", "unused_35",
+]
 
 # Space-separated consumer-credit file: 20 inputs and the 1/2 risk column.
-CONSUMER_COLUMNS = (
-    "checking_account_status duration_months credit_history purpose credit_amount savings_account employment_length "
-    "installment_rate personal_status_sex other_debtors residence_since property age other_installment_plans housing "
-    "existing_credits job people_liable telephone foreign_worker risk"
-).split()
+CONSUMER_COLUMNS = [
+    "checking_account_status", "duration_months", "credit_history", "purpose", "credit_amount", "savings_account",
+    "employment_length", "installment_rate", "personal_status_sex", "other_debtors", "residence_since", "property",
+    "age", "other_installment_plans", "housing", "existing_credits", "job", "people_liable", "telephone",
+    "foreign_worker", "risk",
+]
 
 # --- fixed values: feature-table contract --------------------------------------------------------
 META = ["loan_seq", "vintage_year", "vintage_quarter", "first_payment_date", "int_rate"]
