@@ -65,14 +65,21 @@ def supervised_edges(cells: DataFrame, totals: Mapping[str, int], cfg: Mapping =
 
 
 def _best_splits(ranked: DataFrame, leaves: Mapping[str, list], smallest: Mapping[str, int]) -> dict[str, list]:
-    flat = [(f, i, low, high, n0, bad0, n, bad, smallest[f]) for f, items in leaves.items() for i, (low, high, n0, bad0, n, bad) in enumerate(items)]
-    # two rows per feature at most; their known size makes this a broadcast join
-    table = ranked.sparkSession.createDataFrame(
-        flat, "feature string, leaf int, low double, high double, n0 bigint, bad0 bigint, ln bigint, lbad bigint, least bigint")
     c = F.col
-    inside = ((c("low").isNull() | (c("x") > c("low"))) & (c("high").isNull() | (c("x") <= c("high"))))
-    counted = ranked.join(table, "feature").filter(inside).select(
-        "feature", "leaf", "x", "ln", "lbad", "least", (c("before_n") + c("n") - c("n0")).alias("left_n"), (c("before_bad") + c("bad") - c("bad0")).alias("left_bad"))
+    # the few open leaves are expressions, so a round is one scan of the cells and one shuffle of their best splits
+    found = []
+    for f, items in leaves.items():
+        for i, (low, high, n0, bad0, n, bad) in enumerate(items):
+            inside = c("feature") == f
+            inside = inside if low is None else inside & (c("x") > F.lit(low))
+            inside = inside if high is None else inside & (c("x") <= F.lit(high))
+            values = {"leaf": i, "n0": n0, "bad0": bad0, "ln": n, "lbad": bad, "least": smallest[f]}
+            found.append(F.when(inside, F.struct(*(F.lit(v).cast("bigint").alias(k) for k, v in values.items()))))
+    if not found:
+        return {}
+    counted = ranked.withColumn("_leaf", F.coalesce(*found)).filter("_leaf is not null").select(
+        "feature", F.col("_leaf.leaf").alias("leaf"), "x", F.col("_leaf.ln").alias("ln"), F.col("_leaf.lbad").alias("lbad"), F.col("_leaf.least").alias("least"),
+        (c("before_n") + c("n") - c("_leaf.n0")).alias("left_n"), (c("before_bad") + c("bad") - c("_leaf.bad0")).alias("left_bad"))
     right_n, right_bad = c("ln") - c("left_n"), c("lbad") - c("left_bad")
     allowed = (c("left_n") >= c("least")) & (right_n >= c("least")) & (c("lbad") > 0) & (c("lbad") < c("ln"))
     scored = counted.filter(allowed).withColumn("gain", _gini(c("ln"), c("lbad")) - _gini(c("left_n"), c("left_bad")) - _gini(right_n, right_bad))
@@ -90,9 +97,8 @@ def _midpoints(ranked: DataFrame, cuts: Mapping[str, list[float]]) -> dict[str,
     wanted = [(f, x) for f, xs in cuts.items() for x in xs]
     if not wanted:
         return {f: [] for f in cuts}
-    table = ranked.sparkSession.createDataFrame(wanted, "feature string, cut double")
-    nexts = {(r["feature"], r["cut"]): r["next"] for r in ranked.join(table, "feature").filter("x > cut").groupBy("feature", "cut").agg(
-        F.min("x").alias("next")).collect()}
+    above = [F.min(F.when((F.col("feature") == f) & (F.col("x") > F.lit(x)), F.col("x"))) for f, x in wanted]
+    nexts = dict(zip(wanted, ranked.agg(*above).first(), strict=True))
     out: dict[str, list[float]] = {f: [] for f in cuts}
     for f, x in wanted:
         out[f].append((x + nexts[f, x]) / 2)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom.functions import hashing
+from loanloom.session import write_scratch
 
 BUCKETS = 64
 
@@ -36,7 +37,9 @@ def running_before(cells: DataFrame, sums: Sequence[str], by: Sequence[str] = ()
     """Ascending-x running sums *before* each cell (``before_*``) and group totals (``total_*``).
 
     Each value bucket is ordered on its own; the offsets of the buckets come from at most ``buckets`` rows per group.
+    The cells are written first: bounds, offsets and rows then read them and not the table they were counted from.
     """
+    cells = write_scratch(cells, "cells")
     tagged = with_bucket(cells, buckets)
     keys = [*by, "bucket"]
     per_bucket = tagged.groupBy(*keys).agg(*[F.sum(s).alias(f"in_{s}") for s in sums])
