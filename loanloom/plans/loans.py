@@ -40,23 +40,13 @@ def order_number(loan_seq):
     return _text(F.substring(loan_seq, 6, 20).cast("bigint"))
 
 
-def spread(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
-    """Use all cores on small inputs: a table of fewer scan splits than cores is spread before it is written.
-
-    Inputs with enough splits are left alone, so nothing is shuffled for this at scale.
-    """
-    cores = spark.sparkContext.defaultParallelism
-    splits = table(spark, sf_dir, "lineitem").rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
-
-
 def raw_origination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw origination layer: text columns, written once per application like a landed file."""
-    return staged_once(spark, f"raw_orig:{sf_dir}", lambda: spread(spark, sf_dir, origination_view(spark, sf_dir)))
+    return staged_once(spark, f"raw_orig:{sf_dir}", lambda: origination_view(spark, sf_dir))
 
 
 def raw_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged_once(spark, f"raw_perf:{sf_dir}", lambda: spread(spark, sf_dir, performance_view(spark, sf_dir)))
+    return staged_once(spark, f"raw_perf:{sf_dir}", lambda: performance_view(spark, sf_dir))
 
 
 def origination_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +132,8 @@ def staged_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged loans with labels, written once per application: every later step scans it instead of rebuilding it."""
-    return staged_once(spark, f"joined:{sf_dir}", lambda: spread(spark, sf_dir, feat.join_labels(
-        staged_origination(spark, sf_dir), staged_label(spark, sf_dir))))
+    return staged_once(spark, f"joined:{sf_dir}", lambda: feat.join_labels(
+        staged_origination(spark, sf_dir), staged_label(spark, sf_dir)))
 
 
 def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +142,8 @@ def kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature table of all vintages, written once per application."""
-    return staged_once(spark, f"features:{sf_dir}", lambda: spread(spark, sf_dir, feat.build_features(
-        kept(spark, sf_dir), DEV_MAX_VINTAGE, OOT_1_MAX_VINTAGE)))
+    return staged_once(spark, f"features:{sf_dir}", lambda: feat.build_features(
+        kept(spark, sf_dir), DEV_MAX_VINTAGE, OOT_1_MAX_VINTAGE))
 
 
 def fresh_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -385,13 +385,16 @@ def _(spark, sf):
     return monitoring.perturb_default_rate(df, 1.25, "loan_seq", "d")
 
 
-register("pool", f"""SELECT *, row_number() OVER (ORDER BY {uniform32("loan_seq || '20261012'")}, loan_seq) AS place, count(*) OVER () AS nn FROM inputs WHERE vintage_year<=1998""")
-register("drill_ref0", f"SELECT *, {SCORE_SQL} AS score FROM pool WHERE place>nn//4")
+#: Loans in a drill batch; the same at every scale, and small enough for the smallest table to keep a reference besides.
+DRILL_BATCH = 500
+
+register("pool", f"""SELECT *, row_number() OVER (ORDER BY {uniform32("loan_seq || '20261012'")}, loan_seq) AS place FROM inputs WHERE vintage_year<=1998""")
+register("drill_ref0", f"SELECT *, {SCORE_SQL} AS score FROM pool WHERE place>{DRILL_BATCH}")
 register("drill_ref", counts_sql("drill_ref0", ""))
 _SH = "20261012-shift"
 register("drill_batch", f"""SELECT loan_seq, credit_score::double AS credit_score, dti::double AS dti, rate_spread, ltv::double AS ltv, cltv::double AS cltv, several_borrowers,
     mi_pct::double AS mi_pct, orig_term::double AS orig_term, purpose, y, {unit(_SH)} AS u,
-    row_number() OVER (PARTITION BY y ORDER BY {uniform32(f"loan_seq || '{_SH}'")}, loan_seq) AS zr FROM pool WHERE place<=nn//4""")
+    row_number() OVER (PARTITION BY y ORDER BY {uniform32(f"loan_seq || '{_SH}'")}, loan_seq) AS zr FROM pool WHERE place<={DRILL_BATCH}""")
 
 
 def _drill_sql() -> str:
@@ -424,8 +427,7 @@ register("drill_monitors", monitors_sql("drill_ref", "drill_counts", "drill", "d
 
 def drill_report(spark, sf):
     pool = loans.with_borrower_flag(loans.features(spark, sf)).filter(F.col("vintage_year") <= loans.DEV_MAX_VINTAGE)
-    batch = pool.count() // 4  # the default batch size exceeds the smallest tables
-    return monitoring.drift_drill_grid(scoring.adopted_model(), pool.withColumn("y", F.col("default_24m")), size=batch)
+    return monitoring.drift_drill_grid(scoring.adopted_model(), pool.withColumn("y", F.col("default_24m")), size=DRILL_BATCH)
 
 
 @query("drift_drill_grid", report_sql("drill_monitors", "drill"))
