@@ -31,8 +31,13 @@ def rank_measures():
     }
 
 
+#: Measures that are sums over cells and need no order.
+ADDITIVE = {"n", "defaults", "default_rate", "mean_predicted_pd", "brier"}
+
+
 def evaluate_cells(cells: DataFrame, by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
-    ranked = running_before(cells, ["n", "bad"], by)
+    ordered = names is None or not ADDITIVE.issuperset(names)
+    ranked = running_before(cells, ["n", "bad"], by) if ordered else cells
     measures = [m.alias(k) for k, m in rank_measures().items() if names is None or k in names]
     return ranked.groupBy(*by).agg(*measures)
 

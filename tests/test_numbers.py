@@ -288,3 +288,15 @@ def test_isotonic_is_monotone_and_clipped(tied):
     df, _ = tied
     out = challengers.isotonic_calibrate(df, "p", "y").apply(df, "p", "q").select("p", "q").distinct().orderBy("p").toPandas()
     assert (out.q.diff().dropna() >= -1e-12).all() and out.q.between(1e-6, 1 - 1e-6).all()
+
+
+def test_rank_measures_read_their_table_once_and_sums_need_no_order(spark, tmp_path):
+    path = str(tmp_path / "scored")
+    spark.range(500).selectExpr("cast(id % 7 as int) as v", "cast(id % 3 = 0 as int) as y", "(id % 50) / 50D as p").write.parquet(path)
+    df = spark.read.parquet(path)
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    assert path not in plan(metrics.evaluate(df, "y", "p", ["v"]))  # only the written cells
+    sums = plan(metrics.evaluate(df, "y", "p", ["v"], ["brier", "default_rate"]))
+    assert "Window" not in sums and sums.count("FileScan") == 1
+    whole = {r["v"]: r["brier"] for r in metrics.evaluate(df, "y", "p", ["v"]).collect()}
+    assert {r["v"]: r["brier"] for r in metrics.evaluate(df, "y", "p", ["v"], ["brier"]).collect()} == pytest.approx(whole)
