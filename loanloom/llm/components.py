@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from loanloom.session import write_scratch
 
 
-def _hung(pairs: DataFrame, name: str) -> DataFrame:
-    """Each row (u, v) with ``m``, the least of u and all its v.  The minima are written first, so that a node with very
-    many neighbours is split like any skewed join."""
+def _hung(pairs: DataFrame, hubs: bool) -> DataFrame:
+    """Each row (u, v) with ``m``, the least of u and all its v.  Where u may have very many neighbours the minima are
+    written first, so that Spark can split its rows like those of any skewed join."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return pairs.join(write_scratch(least, f"{name}-least"), "u")
+    return pairs.join(write_scratch(least, "least") if hubs else least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = forward.unionByName(forward.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hung(both, "large").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = _hung(both, hubs=True).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = write_scratch(large, "large")
-        hung = _hung(large, "small")
+        hung = _hung(large, hubs=False)  # after a large-star step a node has few smaller neighbours
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hung.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         forward = write_scratch(small, "small")
         now = forward.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -1,10 +1,10 @@
 """MinHash near-duplicates: many universal hash minima, banding, signature verification, exact check, components.
 
 Documents with the same shingle set form a class, which one document stands for.  Classes that agree in a band meet in a
-bucket.  A bucket never gives all its pairs: its members are compared with one of them (a star), then, where parts of a
-bucket still belong to different components, with another one; only what is still apart after that is compared in
-blocks, by signatures, and the pairs that come out are checked.  So a large group of near copies costs a few comparisons
-a member, and no link between components is lost.
+bucket.  A bucket never gives all its pairs: its members are compared with one of them (a star).  Only what still belongs to
+different components after that is compared in blocks of bounded size, by signatures and then on full sets, and a block
+gives no more links than connect its components.  So a large group of near copies costs a few comparisons a member, and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from loanloom.session import write_scratch
 BANDS, ROWS = 30, 5
 SEED = 20
 #: Members of a bucket compared in one block.
-BLOCK = 512
+BLOCK = 256
 
 
 def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
@@ -99,65 +98,83 @@ class Links:
         shared = self.members.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.count("*").alias("n"))
         self.buckets = write_scratch(shared.filter("n > 1 and first <> last"), "buckets")
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """``id`` and ``members``, the full set, of the classes that some ids stand for; written."""
+        ids = write_scratch(ids, "wanted")
+        kind = ids.schema["id"].dataType.simpleString()
+        texts = may_match(self.docs, "id", ids).join(ids, "id", "left_semi")
+        found = texts.mapInArrow(_sets_of(self.k), f"id {kind}, key long, members binary")
+        # a repeated id may have several texts: the class knows which one is meant
+        own = self.classes.select(F.col("rep").alias("id"), "key").join(ids, "id")
+        return write_scratch(found.join(own, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "members"), "sets")
+
     def check(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are links: by signatures first, then on full sets; written."""
         sig = self.classes.select("rep", "sig")
         sides = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("y")), "b")
         kind = sides.schema["a"].dataType.simpleString()
         alike = write_scratch(sides.select("a", "b", "x", "y").mapInArrow(_alike(self.hashes, self.least), f"a {kind}, b {kind}"), "alike")
-        ids = write_scratch(alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct(), "wanted")
-        texts = may_match(self.docs, "id", ids).join(ids, "id", "left_semi")
-        own = self.classes.select(F.col("rep").alias("id"), "key")
-        sets = texts.mapInArrow(_sets_of(self.k), f"id {kind}, key long, members binary")
-        # a repeated id may have several texts: the class knows which one is meant
-        sets = write_scratch(sets.join(own, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("id", "members"), "sets")
+        sets = self.sets(alike.select(F.col("a").alias("id")).unionByName(alike.select(F.col("b").alias("id"))).distinct())
         full = alike.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
         return write_scratch(full.select("a", "b", "x", "y").mapInArrow(_linked(self.percent), f"a {kind}, b {kind}"), "links")
 
     def apart(self, found: DataFrame) -> DataFrame:
-        """Bucket members with their component, of the buckets that hold more than one component; written."""
+        """``rep``, ``comp`` and ``cluster`` of the members of buckets that hold more than one component; written.
+
+        A cluster is what such buckets connect: whoever meets in one of them is in the same.
+        """
         comp = F.coalesce("component", "rep")
-        of = self.members.join(self.buckets.select("bucket"), "bucket").join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", comp.alias("comp"))
-        of = write_scratch(of, "placed")
-        several = write_scratch(of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2"), "several")
-        return write_scratch(of.join(several.select("bucket", "n"), "bucket"), "apart")
+        met = self.members.join(self.buckets.select("bucket", "first"), "bucket")
+        of = write_scratch(met.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "first", "rep", comp.alias("comp")), "placed")
+        several = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2")
+        of = of.join(write_scratch(several.select("bucket"), "several"), "bucket")
+        edges = of.select(F.col("first").alias("a"), F.col("rep").alias("b"))
+        clusters = components(edges).withColumnRenamed("component", "cluster")
+        return write_scratch(of.select(F.col("rep").alias("node"), "comp").distinct().join(clusters, "node").withColumnRenamed("node", "rep"), "apart")
 
     def star(self) -> DataFrame:
         """Every member of a bucket with the bucket's first."""
         pairs = self.members.join(self.buckets, "bucket").filter("rep <> first")
         return write_scratch(pairs.select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct(), "star")
 
-    def second_star(self, apart: DataFrame) -> DataFrame:
-        """Every member of a bucket with another one drawn by hash, where their components differ."""
-        drawn = apart.groupBy("bucket").agg(F.min_by(F.struct("rep", "comp"), F.xxhash64("bucket", "rep")).alias("c"))
-        pairs = apart.join(write_scratch(drawn, "drawn"), "bucket").filter("comp <> c.comp")
-        return write_scratch(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct(), "star")
-
     def rest(self, apart: DataFrame) -> DataFrame:
-        """Pairs across components whose signatures are alike, found block by block."""
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        sig = self.classes.select("rep", "sig")
-        placed = apart.join(sig, "rep").withColumn("mine", mine)
-        other = F.explode(F.sequence(F.lit(0), blocks - 1))
-        met = placed.withColumn("other", other).select("bucket", "rep", "comp", "sig", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+        """Links between components of a cluster, compared block by block: by signatures, then on full sets.
+
+        A block gives no more links than it needs to connect what it connects.
+        """
+        sizes = write_scratch(apart.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
+        full = apart.join(self.classes.select("rep", "sig"), "rep").join(self.sets(apart.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep"), "rep")
+        mine = F.pmod(F.xxhash64("rep"), "blocks").cast("int")
+        placed = full.join(sizes, "cluster").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        met = placed.select("cluster", "rep", "comp", "sig", "members", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
         kind = met.schema["rep"].dataType.simpleString()
-        least = self.least
+        hashes, least, percent = self.hashes, self.least, self.percent
 
-        def compare(block: pd.DataFrame) -> pd.DataFrame:
-            lo, hi = block["lo"].iat[0], block["hi"].iat[0]
-            comp, rep, mine = block["comp"].to_numpy(), block["rep"].to_numpy(), block["mine"].to_numpy()
-            sigs = np.frombuffer(b"".join(block["sig"]), "<u2").reshape(len(block), -1)
-            left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
-            a, b = [], []
-            for i in left:
-                other = right[(comp[right] != comp[i]) & (rep[right] > rep[i] if lo == hi else True)]
-                like = other[(sigs[other] == sigs[i]).sum(axis=1) >= least]
-                a += [rep[i]] * len(like)
-                b += rep[like].tolist()
-            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if a else pd.DataFrame({"a": [], "b": []})
+        def compare(block: pa.Table) -> pa.Table:
+            comp, rep, mine, sets = (block.column(n).to_pylist() for n in ("comp", "rep", "mine", "members"))
+            lo, hi = block.column("lo")[0].as_py(), block.column("hi")[0].as_py()
+            sigs = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<u2").reshape(-1, hashes)
+            sets = [np.frombuffer(s, np.uint64) for s in sets]
+            root = {c: c for c in comp}
 
-        return write_scratch(met.groupBy("bucket", "lo", "hi").applyInPandas(compare, f"a {kind}, b {kind}").distinct(), "rest")
+            def top(c):
+                while root[c] != c:
+                    c = root[c]
+                return c
+
+            right = np.array([k for k, m in enumerate(mine) if m == hi])
+            a, b = [], []
+            for i in (k for k, m in enumerate(mine) if m == lo):
+                others = right[right > i] if lo == hi else right
+                for j in others[(sigs[others] == sigs[i]).sum(axis=1) >= least].tolist() if len(others) else ():
+                    x, y = top(comp[i]), top(comp[j])
+                    if x != y and jaccard_at_least(sets[i], sets[j], percent):
+                        root[max(x, y)] = min(x, y)
+                        a.append(min(rep[i], rep[j]))
+                        b.append(max(rep[i], rep[j]))
+            return pa.table({"a": pa.array(a, block.column("rep").type), "b": pa.array(b, block.column("rep").type)})
+
+        return write_scratch(met.groupBy("cluster", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}"), "rest")
 
     def same_set(self) -> DataFrame:
         """Links between ids whose texts differ and whose sets don't."""
@@ -169,12 +186,8 @@ class Links:
     def linked(self) -> DataFrame:
         """Links enough to connect every component."""
         links = self.check(self.star())
-        for pairs in (self.second_star, self.rest):
-            apart = self.apart(components(links))
-            if apart.isEmpty():
-                break
-            links = links.unionByName(self.check(pairs(apart)))
-        return links
+        apart = self.apart(components(links))
+        return links.unionByName(self.rest(apart))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
