@@ -44,7 +44,22 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summarize(license_scan.scan(documents(spark, sf_dir)))
 
 
-@query("op4_minhash")
+@query(
+    "op4_minhash",
+    """
+    WITH RECURSIVE worded AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    shingled AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]
+                                          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM worded),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY 1),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT x, y FROM shared JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * shared.n >= 85 * (a.n + b.n - shared.n)),
+    reached(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reached.id, links.y FROM reached JOIN links ON reached.other = links.x)
+    SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+    FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT id AS doc_id, min(other) AS component_id FROM reached GROUP BY 1) c USING (doc_id)
+    """,
+)
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: 3-word shingles, similarity of 0.85 or more."""
     return minhash.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
@@ -81,7 +96,19 @@ def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curves.search(embeddings(spark, sf_dir))
 
 
-@query("op8_pivot_search")
+@query(
+    "op8_pivot_search",
+    """
+    WITH whole AS (
+      SELECT DISTINCT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, CAST(nth AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS nth FROM scored) WHERE nth <= 20
+    """,
+)
 def op8_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest integer inner products of every twentieth vector."""
     return pivots.search(embeddings(spark, sf_dir))
