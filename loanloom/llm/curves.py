@@ -2,8 +2,8 @@
 
 Each curve orders the vectors by the Hilbert number of a random projection, shifted at random: vectors that are near
 each other are near in some of the orders.  Spark range-partitions every order and packs it into blocks; a query is
-compared with the blocks that reach into a window of rows around its own place, and the best of all curves are ranked
-by their exact scores.  An extra coordinate gives all vectors one length, so that the largest inner product is the
+compared with the blocks of its own window of rows and of the two beside it, and the best of all curves are ranked by
+their exact scores.  An extra coordinate gives all vectors one length, so that the largest inner product is the
 nearest neighbour.
 """
 
@@ -22,7 +22,7 @@ from loanloom.session import write_scratch
 
 #: Curves, coordinates of each projection and bits of a coordinate.
 CURVES, AXES, BITS = 12, 4, 6
-#: Rows of a block, and of the window on each side of a query's block.
+#: Rows of a block, and of a window: a query meets the blocks of its own window and of the two beside it.
 BLOCK, WINDOW = 4096, 4096
 #: Vectors from which the spread of the projections is learnt.
 SAMPLE = 2048
@@ -171,15 +171,15 @@ def nearest_rows(q: np.ndarray, q_reps: np.ndarray, m: np.ndarray, reps: np.ndar
 
 
 def _meet(dims: int, k: int):
+    """The best of each query of a cell among all rows of the cell and its two neighbours."""
+
     def run(data: pa.Table, asked: pa.Table) -> pa.Table:
-        parts = []
-        for reps, m in zip(data.column("reps").to_pylist(), data.column("m").to_pylist(), strict=True):
-            reps, m = np.frombuffer(reps, np.int64), np.frombuffer(m).reshape(-1, dims)
-            for q_reps, q in zip(asked.column("q_reps").to_pylist(), asked.column("q_m").to_pylist(), strict=True):
-                if len(reps):
-                    parts.append(nearest_rows(np.frombuffer(q).reshape(-1, dims), np.frombuffer(q_reps, np.int64), m, reps, k))
-        columns = list(map(np.concatenate, zip(*parts, strict=True))) if parts else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
-        return pa.table(dict(zip(("query", "rep", "score"), columns, strict=True)))
+        out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        reps, q_reps = (np.frombuffer(b"".join(t.column(n).to_pylist()), np.int64) for t, n in ((data, "reps"), (asked, "q_reps")))
+        if len(reps) and len(q_reps):
+            m, q = (np.frombuffer(b"".join(t.column(n).to_pylist())).reshape(-1, dims) for t, n in ((data, "m"), (asked, "q_m")))
+            out = nearest_rows(q, q_reps, m, reps, k)
+        return pa.table(dict(zip(("query", "rep", "score"), out, strict=True)))
 
     return run
 
@@ -206,18 +206,14 @@ def search(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", k: i
     blocks = write_scratch(packed.mapInArrow(_pack, "block long, curve long, part long, n long, reps binary, m binary, q_reps binary, q_m binary"), "blocks")
 
     before = Window.partitionBy("curve").orderBy("block")  # one row a block
-    spans = blocks.select("block", "curve", "n", (F.octet_length("q_reps") > 0).alias("asked"), F.sum("n").over(before).alias("end"))
-    spans = write_scratch(spans.withColumn("start", F.col("end") - F.col("n")), "spans")
-
-    def cells(first, last):
-        return F.explode(F.sequence(F.floor(first / WINDOW), F.floor(last / WINDOW))).alias("cell")
-
-    start, end = F.col("start"), F.greatest(F.col("end") - 1, F.col("start"))
-    there = spans.select("curve", "block", cells(start, end))
-    near = spans.filter("asked").select("curve", F.col("block").alias("asker"), cells(start - WINDOW, end + WINDOW))
-    pairs = there.join(near, ["curve", "cell"]).select("block", "asker").distinct()
-    asked = blocks.filter(F.octet_length("q_reps") > 0).select(F.col("block").alias("asker"), "q_reps", "q_m").join(pairs, "asker")
-    met = blocks.select("block", "reps", "m").groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(_meet(dims, k), "query long, rep long, score double")
+    end = F.sum("n").over(before)
+    cell = F.floor((end - F.col("n") / 2) / WINDOW)  # where the middle of the block lies, in windows
+    cells = write_scratch(blocks.select("block", "curve", cell.alias("cell")), "cells")
+    near = cells.select("block", "curve", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1)).alias("cell"))
+    data = blocks.select("block", "reps", "m").join(near, "block").groupBy("curve", "cell")
+    asked = blocks.filter(F.octet_length("q_reps") > 0).select(F.col("block").alias("asker"), "q_reps", "q_m")
+    home = cells.select(F.col("block").alias("asker"), F.col("curve").alias("on"), F.col("cell").alias("home"))
+    met = data.cogroup(asked.join(home, "asker").groupBy("on", "home")).applyInArrow(_meet(dims, k), "query long, rep long, score double")
     found = write_scratch(met.groupBy("query", "rep").agg(F.max("score").alias("score")), "found")
     own = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     return vectors.results(found, table, queries, own, k)
