@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, curves, license_scan, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts
+from loanloom.llm import byte_bpe, curves, filter_audit, license_scan, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,36 @@ def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"]).cast("long")
     first = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["first"])))
     return cut.select("doc_id", "text", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "spans", first.alias("earlier_docs"))
+
+
+@query(
+    "op12_filter_audit",
+    """
+    WITH texts AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+             regexp_matches(coalesce(text, ''), '[#$%&*|]') AS symbols FROM documents),
+    marks AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS g, max(CAST(toxic = 1 AS INTEGER)) AS x FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+    failing AS (
+      SELECT doc_id, part, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN symbols THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM texts),
+    cells AS (SELECT part, fails, count(*) AS n, sum(coalesce(g, 0)) AS good, sum(coalesce(x, 0)) AS toxic FROM failing LEFT JOIN marks USING (doc_id) GROUP BY 1, 2),
+    letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+               WHERE a.l <> b.l AND c.l NOT IN (a.l, b.l) AND d.l NOT IN (a.l, b.l, c.l) AND e.l NOT IN (a.l, b.l, c.l, d.l)),
+    steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS l, substr(filter_order, 1, step - 1) AS before
+              FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+    hits AS (
+      SELECT part, filter_order, step, l, sum(n) AS total, sum(CASE WHEN contains(fails, l) THEN n ELSE 0 END) AS failed, sum(CASE WHEN fails = l THEN n ELSE 0 END) AS single,
+             sum(CASE WHEN here THEN n ELSE 0 END) AS removed, sum(CASE WHEN here THEN good ELSE 0 END) AS good, sum(CASE WHEN here THEN toxic ELSE 0 END) AS toxic
+      FROM (SELECT *, contains(fails, l) AND length(translate(fails, before, '')) = length(fails) AS here FROM cells, steps) GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, step, CAST(total - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step) AS BIGINT) AS kept,
+           CAST(removed AS BIGINT) AS removed, CAST(failed - removed AS BIGINT) AS redundant, CAST(single AS BIGINT) AS unique_fails,
+           CAST(good AS BIGINT) AS good_lost, CAST(toxic AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+    FROM hits
+    """,
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of each language's documents, in all 120 orders."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.audit(filter_audit.count_failures(documents(spark, sf_dir), labels))
