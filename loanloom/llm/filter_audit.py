@@ -45,8 +45,7 @@ def removal_intervals(n: int = len(LETTERS)) -> list[tuple[int, int, int, int]]:
 
 def text_failures(text: Column) -> Column:
     """The mask (int) of the filters A to D that a text fails."""
-    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    words = F.split(F.btrim(text, F.lit(" \t\n\x0b\x0c\r")), SPACE)  # without words one empty string: A and B come out the same
     capitals = F.octet_length(text) - F.octet_length(F.regexp_replace(text, "[A-Z]+", ""))
     tests = (
         F.size(words) < LEAST_WORDS,
