@@ -98,37 +98,60 @@ def jaccard_at_least(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(both) - shared)
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def _marked(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows with ``_may``: whether their key may be among ``keys`` (first column).
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys: 8 to 16 each, up to 16 MB in all."""
+    return min(max(FILTER_BITS, 1 << (8 * keys).bit_length()), 1 << 27)
 
-    The mark comes from a bitmap of ``FILTER_BITS`` bits that a distributed aggregation sets; with more keys than bits
+
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The names, with as many underscores before them as keep them apart from the columns (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def _marked(rows: DataFrame, key: str, keys: DataFrame, bits: int) -> tuple[DataFrame, str]:
+    """The rows with a mark (its name is given too): whether their key may be among ``keys`` (first column).
+
+    The mark comes from a bitmap of ``bits`` bits that a distributed aggregation sets; with more keys than bits
     it is true for all rows.  It never misses a key.
     """
-    bit = _bit(F.col(keys.columns[0]))
-    maps = keys.select(F.bitmap_bucket_number(bit).alias("_part"), F.bitmap_bit_position(bit).alias("bit"))
-    maps = maps.groupBy("_part").agg(F.bitmap_construct_agg("bit").alias("_bits"))  # 4 KB for each 32,768 bits
-    at = _bit(F.col(f"`{key}`"))
-    placed = rows.withColumn("_part", F.bitmap_bucket_number(at)).withColumn("_at", F.bitmap_bit_position(at)).join(F.broadcast(maps), "_part", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    may = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0, F.lit(False))
-    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), may.alias("_may"))
+    part, place, held, mark = free_names(rows.columns, "_part", "_at", "_bits", "_may")
+    bit = _bit(F.col(keys.columns[0]), bits)
+    maps = keys.select(F.bitmap_bucket_number(bit).alias(part), F.bitmap_bit_position(bit).alias("bit"))
+    maps = maps.groupBy(part).agg(F.bitmap_construct_agg("bit").alias(held))  # 4 KB for each 32,768 bits
+    at = _bit(F.col(f"`{key}`"), bits)
+    placed = rows.withColumn(part, F.bitmap_bucket_number(at)).withColumn(place, F.bitmap_bit_position(at)).join(F.broadcast(maps), part, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({held}, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    may = F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast({place} % 8 as int))")) != 0, F.lit(False))
+    return placed.select(*(F.col(f"`{c}`") for c in rows.columns), may.alias(mark)), mark
+
+
+def split_matches(rows: DataFrame, key: str, wanted: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be among those of ``wanted`` (first column), and the rows whose key certainly isn't."""
+    marked, mark = _marked(rows, key, wanted, bits)
+    return marked.filter(F.col(mark)).drop(mark), marked.filter(~F.col(mark)).drop(mark)
 
 
 def may_match(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose key may be among the keys of ``wanted`` (first column): all that are, and few others.  Thins out a
     wide table before the join that decides; beyond ``FILTER_BITS`` keys all rows pass, which costs time only."""
-    return _marked(rows, key, wanted).filter("_may").drop("_may")
+    return split_matches(rows, key, wanted)[0]
 
 
 def without(rows: DataFrame, key: str, unwanted: DataFrame) -> DataFrame:
     """The rows whose key isn't among the keys of ``unwanted`` (one column); only rows that may be are shuffled."""
-    marked = _marked(rows, key, unwanted)
-    close = marked.filter("_may").join(unwanted.select(F.col(unwanted.columns[0]).alias("_gone")), F.col(f"`{key}`") == F.col("_gone"), "left_anti")
-    return marked.filter(~F.col("_may")).unionByName(close).drop("_may")
+    gone, = free_names(rows.columns, "_gone")
+    close, far = split_matches(rows, key, unwanted)
+    close = close.join(unwanted.select(F.col(unwanted.columns[0]).alias(gone)), F.col(f"`{key}`") == F.col(gone), "left_anti")
+    return far.unionByName(close)
 
 
 def chunks(items: Iterable, sizes: Iterable[int], most: int):

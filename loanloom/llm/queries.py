@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, curves, filter_audit, license_scan, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts
+from loanloom.llm import byte_bpe, curves, filter_audit, license_scan, lines, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,3 +154,22 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove of each language's documents, in all 120 orders."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return filter_audit.audit(filter_audit.count_failures(documents(spark, sf_dir), labels))
+
+
+@query(
+    "op13_lines",
+    """
+    WITH texts AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    lines AS (SELECT row, doc_id, unnest(l) AS line, unnest(range(len(l))) AS nth FROM texts),
+    keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    common AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT row) >= 3),
+    judged AS (SELECT row, doc_id, line, nth, common.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM keyed LEFT JOIN common USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY row, doc_id
+    """,
+)
+def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that three or more documents hold, but for the largest of these."""
+    kept = lines.drop_common_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
