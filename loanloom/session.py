@@ -49,7 +49,18 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what ``write_scratch`` wrote, once every reader of it has ended.  Other DataFrames are left alone."""
+    path = getattr(written, "scratch_path", None)
+    if isinstance(path, str):
+        jvm = written.sparkSession._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(written.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 _STAGED: dict[tuple[str, str], str] = {}
