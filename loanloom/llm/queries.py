@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanloom.llm import byte_bpe, curves, filter_audit, license_scan, lines, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts
+from loanloom.llm import byte_bpe, curves, filter_audit, license_scan, lines, minhash, mixing, paragraphs, pivots, quality, repeats, token_counts, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -173,3 +173,42 @@ def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that three or more documents hold, but for the largest of these."""
     kept = lines.drop_common_lines(documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _vector_code_sql(rounds: int = 4) -> str:
+    """Plain product codes: every part against every entry, round by round."""
+    near = """
+    near{k} AS MATERIALIZED (
+      SELECT row, part, arg_min(entry, d * 256 + entry) AS entry, min(d) AS d
+      FROM (SELECT row, part, entry, CAST(pp - 2 * list_inner_product(p, c) + list_inner_product(c, c) AS BIGINT) AS d FROM parts JOIN book{k} USING (part)) GROUP BY 1, 2),"""
+    book = """
+    book{n} AS MATERIALIZED (
+      SELECT part, entry, coalesce(mean, c) AS c FROM book{k} LEFT JOIN (
+        SELECT part, entry, list(m ORDER BY pos) AS mean FROM (
+          SELECT part, entry, pos, floor(sum(x) / count(*)) AS m FROM (SELECT row, part, unnest(p) AS x, unnest(range(len(p))) AS pos FROM parts) JOIN near{k} USING (row, part)
+          GROUP BY 1, 2, 3) GROUP BY 1, 2) USING (part, entry)),"""
+    steps = "".join(near.format(k=k) + book.format(k=k, n=k + 1) for k in range(rounds)) + near.format(k=rounds)
+    return f"""
+    WITH kept AS (
+      SELECT row_number() OVER () AS row, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+    part_no AS (SELECT unnest([0, 1, 2, 3]) AS part),
+    parts AS MATERIALIZED (SELECT row, vec_id, part, p, list_inner_product(p, p) AS pp FROM (
+      SELECT row, vec_id, part, v[part * (len(v) // 4) + 1 : (part + 1) * (len(v) // 4)] AS p FROM kept, part_no)),
+    book0 AS MATERIALIZED (
+      SELECT part, entry, p AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT DISTINCT vec_id FROM kept WHERE vec_id IS NOT NULL)) USING (vec_id)
+      WHERE entry < 256),{steps}
+    digest AS (
+      SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+      FROM (SELECT part, entry, unnest(c) AS x, unnest(range(len(c))) AS pos FROM book{rounds})),
+    coded AS (SELECT row, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY 1)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (row), digest
+    """
+
+
+@query("op11_vector_codes", _vector_code_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four-byte codes of all vectors, with their errors and the errors of their labels."""
+    coded, books = vector_codes.compress(embeddings(spark, sf_dir))
+    found = vector_codes.label_errors(coded).withColumn("codebooks_sha256", F.lit(vector_codes.books_digest(books)))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
