@@ -12,7 +12,7 @@ from loanloom.plans import loans
 from loanloom.plans.oracle import ADOPTED, band_index_case, register, uniform32
 from loanloom.plans.preparation import rounded
 from loanloom.plans.registry import query
-from loanloom.session import write_scratch
+from loanloom.session import staged_once, write_scratch
 from loanloom.sources.readers import load_split_guarded
 
 NUMERIC = ["credit_score", "dti", "rate_spread", "ltv", "cltv", "several_borrowers", "mi_pct", "orig_term"]
@@ -422,14 +422,14 @@ def arms(spark, sf):
     share = S.ADOPTED_SCALING["offset"] / len(ADOPTED)
     reduced = scoring.model_record("no_income", less, {**S.ADOPTED_SCALING, "offset": S.ADOPTED_SCALING["offset"] - share})
     late = rows.filter(F.col("vintage_year") > loans.DEV_MAX_VINTAGE)
-    late = refit.predict_pd(late.withColumn("v2", F.col("pd")), "v1b").withColumn("v1b", F.round("v1b", 6))
+    late = refit.predict_pd(late.withColumn("v2", F.col("pd")), "v1b")
     v1 = scoring.pd_column(reduced, scoring.score_column(reduced))
-    return write_scratch(late.select("loan_seq", "vintage_year", "y", F.round(v1, 6).alias("v1"), "v1b", F.round("v2", 6).alias("v2")), "arms")
+    return write_scratch(late.select("loan_seq", "vintage_year", "y", v1.alias("v1"), "v1b", "v2"), "arms")
 
 
 ARMS = ("v1", "v1b", "v2")
 PAIRS = (("v2", "v1"), ("v2", "v1b"), ("v1b", "v1"))
-RESAMPLES = 40
+RESAMPLES = 1000
 
 
 @query("model_arms_compare")
@@ -439,8 +439,9 @@ def _(spark, sf):
     return rounded(metrics.evaluate(long, "y", "p", ["arm", "vintage_year"]), "default_rate", "mean_predicted_pd", "auc", "gini", "ks", "pr_auc", "brier")
 
 
-def replicates(spark, sf, by=("vintage_year",)):
-    return write_scratch(bootstrap.paired_bootstrap(arms(spark, sf), "y", ARMS, RESAMPLES, by=by), "replicates")
+def replicates(spark, sf):
+    """All resamples of every vintage, drawn once an application."""
+    return staged_once(spark, f"{sf}/replicates", lambda: bootstrap.paired_bootstrap(arms(spark, sf), "y", ARMS, RESAMPLES, by=("vintage_year",)))
 
 
 @query("paired_bootstrap")
