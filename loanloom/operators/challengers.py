@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanloom import settings as S
 from loanloom.functions import hashing
-from loanloom.functions.stats import clip, expit, logit
+from loanloom.functions.stats import expit, logit
 from loanloom.operators.binning import long_values, value_cells
+from loanloom.operators.isotonic import Isotonic, isotonic_calibrate  # noqa: F401
+from loanloom.operators.neighbours import nearest_neighbours
 from loanloom.operators.ranks import exact_medians, hash_cut, within_cut
 
 RARE_ROWS = 50
@@ -126,9 +125,8 @@ def fit_boosted_trees(train: DataFrame, y: str = "y", key: str = "loan_seq", tre
 
 
 # ---- calibration --------------------------------------------------------------------------------
-def _probability_cells(df: DataFrame, p: str, y: str, places: int | None = None) -> DataFrame:
-    value = F.col(p) if places is None else F.round(p, places)
-    return df.groupBy(value.alias("x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+def _probability_cells(df: DataFrame, p: str, y: str) -> DataFrame:
+    return df.groupBy(F.col(p).alias("x"), F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
 
 
 @dataclass
@@ -149,26 +147,6 @@ def platt_calibrate(df: DataFrame, p: str, y: str) -> Platt:
     return Platt(float(model.coefficients[0]), float(model.intercept))
 
 
-@dataclass
-class Isotonic:
-    model: object
-
-    def apply(self, df: DataFrame, p: str, out: str) -> DataFrame:
-        scored = self.model.transform(df.withColumn("_p", F.col(p)))
-        return scored.withColumn(out, clip(F.col("_iso"), S.PROBABILITY_EPS, 1 - S.PROBABILITY_EPS)).drop("_p", "_iso")
-
-
-def isotonic_calibrate(df: DataFrame, p: str, y: str) -> Isotonic:
-    """Monotone staircase.
-
-    The final pooling pass of the fit is sequential, so probabilities are reduced to the 1e-6 grid first (the clipping
-    precision): it never sees more than a million points, whatever the table.
-    """
-    cells = _probability_cells(df, p, y, places=6).groupBy(F.col("x").alias("_p")).agg(
-        (F.sum(F.col("_y") * F.col("_n")) / F.sum("_n")).alias("_y"), F.sum("_n").alias("_n"))
-    return Isotonic(IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_n", predictionCol="_iso").fit(cells))
-
-
 # ---- class balance ------------------------------------------------------------------------------
 def class_weight(df: DataFrame, y: str) -> float:
     """Weight of the positive class that balances goods and bads."""
@@ -176,49 +154,6 @@ def class_weight(df: DataFrame, y: str) -> float:
     return r["good"] / r["bad"]
 
 
-BLOCK_ROWS = 20_000
-
-
-def nearest_neighbours(df: DataFrame, key: str, vector: str, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, neighbour) for the exact k nearest other rows.
-
-    Rows are cut into hash blocks of bounded size.  One task compares one block with one other block and hands on
-    only the k best candidates per row; the best k over all blocks follow from a small merge.  No pair list is emitted
-    and no block outgrows its bound, at a cost quadratic in the number of (minority) rows.
-    """
-    n = df.count()
-    blocks = max(1, -(-n // block_rows))
-    block = (hashing.uniform32(F.col(key), "block") % blocks).cast("int")
-    rows = df.select(F.col(key).alias("key"), F.col(vector).alias("v"), block.alias("block"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    left = rows.select("*", each).groupBy("block", "other")
-    right = rows.select("key", "v", F.col("block").alias("other"), each.alias("block")).groupBy("block", "other")
-
-    def best(query: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        if query.empty or candidates.empty:
-            return pd.DataFrame({"key": [], "neighbour": [], "distance": []})
-        cand = np.stack(candidates["v"].to_numpy())
-        cand_keys = candidates["key"].to_numpy()
-        out = []
-        for start in range(0, len(query), 512):
-            part = query.iloc[start:start + 512]
-            q = np.stack(part["v"].to_numpy())
-            gaps = (q ** 2).sum(1)[:, None] - 2 * q @ cand.T + (cand ** 2).sum(1)[None, :]
-            own = part["key"].to_numpy()[:, None] == cand_keys[None, :]
-            gaps[own] = np.inf
-            take = min(k, gaps.shape[1])
-            near = np.argpartition(gaps, take - 1, axis=1)[:, :take]
-            dist = np.take_along_axis(gaps, near, axis=1)
-            out.append(pd.DataFrame({"key": np.repeat(part["key"].to_numpy(), take), "neighbour": cand_keys[near].ravel(), "distance": dist.ravel()}))
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
-
-    kind = dict(df.dtypes)[key]
-    found = left.cogroup(right).applyInPandas(best, f"key {kind}, neighbour {kind}, distance double")
-    merged = found.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("near"))
-    return merged.select("key", F.transform("near", lambda s: s["neighbour"]).alias("neighbours"))
-
-
 def smote_oversample(train: DataFrame, y: str, key: str, columns: Sequence[str], k: int = 5, seed: str = "smote") -> DataFrame:
     """Training rows plus interpolated minority rows until both classes are equal in size.
 

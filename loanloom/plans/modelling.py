@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loanloom import settings as S
 from loanloom.functions import hashing
-from loanloom.operators import binning, bootstrap, challengers, metrics, scorecard, scoring, stability
+from loanloom.functions.stats import logit
+from loanloom.operators import binning, bootstrap, challengers, metrics, neighbours, scorecard, scoring, stability
 from loanloom.plans import loans
 from loanloom.plans.oracle import ADOPTED, band_index_case, register, uniform32
 from loanloom.plans.preparation import rounded
@@ -226,9 +226,9 @@ def _(spark, sf):
       list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda z: (z[1]::double-z[2]::double)*(z[1]::double-z[2]::double))) AS g FROM vectors a JOIN vectors b ON a.vec_id<>b.vec_id)
     SELECT key, max(round(g,4)) AS fifth, CAST(count(*) AS bigint) AS n FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY g, neighbour) AS r FROM dist) WHERE r<=5 GROUP BY 1""")
 def _(spark, sf):
-    """Exact neighbours of every embedding: the distance of the fifth one."""
+    """Neighbours of every embedding: the distance of the fifth one found (exact on tables of one leaf)."""
     vectors = loans.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    near = challengers.nearest_neighbours(vectors, "vec_id", "v", 5, block_rows=200)
+    near = neighbours.nearest_neighbours(vectors, "vec_id", "v", 5)
     each = near.select("key", F.explode("neighbours").alias("neighbour"))
     a, b = vectors.select(F.col("vec_id").alias("key"), F.col("v").alias("a")), vectors.select(F.col("vec_id").alias("neighbour"), F.col("v").alias("b"))
     gap = F.aggregate(F.zip_with("a", "b", lambda x, z: (x - z) * (x - z)), F.lit(0.0), lambda s, x: s + x)
@@ -241,25 +241,32 @@ def calibrated(spark, sf, p_col, fitted_rows):
     return platt, iso
 
 
-@query("platt_calibrate", "SELECT round(avg(y),4) AS observed, round(avg(y),4) AS calibrated, true AS positive_spread FROM scored WHERE split='calibration'")
+_LOG_ODDS = "ln(greatest(least(pd, 1 - 1e-6), 1e-6) / (1 - greatest(least(pd, 1 - 1e-6), 1e-6)))"
+
+
+@query("platt_calibrate", f"""SELECT round(avg(y), 6) AS observed, round(avg(y), 6) AS calibrated, round(avg(y * z), 5) AS observed_by_odds, round(avg(y * z), 5) AS calibrated_by_odds
+    FROM (SELECT y, {_LOG_ODDS} AS z FROM scored WHERE split='calibration')""")
 def _(spark, sf):
-    """An unpenalised fit reproduces the mean rate of its own rows."""
+    """An unpenalised fit is where both slopes of its likelihood vanish: mean rate and mean rate by log-odds are kept."""
     cal = loans.scored(spark, sf).filter("split = 'calibration'")
     platt = challengers.platt_calibrate(cal, "pd", "y")
-    out = cal.withColumn("q", platt.apply(F.col("pd")))
-    return out.agg(F.round(F.avg("y"), 4).alias("observed"), F.round(F.avg("q"), 4).alias("calibrated"), (F.stddev_pop("q") >= 0).alias("positive_spread"))
+    out = cal.withColumn("q", platt.apply(F.col("pd"))).withColumn("z", logit(F.col("pd"), S.PROBABILITY_EPS))
+    return out.agg(F.round(F.avg("y"), 6).alias("observed"), F.round(F.avg("q"), 6).alias("calibrated"),
+                   F.round(F.avg(F.col("y") * F.col("z")), 5).alias("observed_by_odds"), F.round(F.avg(F.col("q") * F.col("z")), 5).alias("calibrated_by_odds"))
 
 
-@query("isotonic_calibrate", "SELECT round(avg(y),4) AS observed, round(avg(y),4) AS calibrated, true AS monotone FROM scored WHERE split='calibration'")
+@query("isotonic_calibrate", """
+    WITH cells AS (SELECT pd, sum(y) AS bad, count(*) AS n, row_number() OVER (ORDER BY pd) AS i FROM scored WHERE split='calibration' GROUP BY pd),
+    sums AS (SELECT *, sum(bad) OVER (ORDER BY i) AS bads, sum(n) OVER (ORDER BY i) AS rows FROM cells),
+    means AS (SELECT a.i AS a, b.i AS b, (b.bads - a.bads + a.bad)::double / (b.rows - a.rows + a.n) AS m FROM sums a JOIN sums b ON b.i >= a.i),
+    lowest AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM means),
+    fit AS (SELECT i, max(m) AS q FROM lowest WHERE a <= i GROUP BY i)
+    SELECT pd, CAST(n AS bigint) AS n, round(greatest(least(q, 1 - 1e-6), 1e-6), 9) AS q FROM fit JOIN cells USING (i)""")
 def _(spark, sf):
-    """The staircase keeps the mean rate of its own rows and never falls with the PD."""
-    cal = loans.scored(spark, sf).filter("split = 'calibration'").withColumn("pd", F.round("pd", 6))
-    out = challengers.isotonic_calibrate(cal, "pd", "y").apply(cal, "pd", "q")
-    pairs = out.groupBy("q").agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"), F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy("q")
-    return (pairs.withColumn("ok", F.coalesce(F.lag("hi").over(w) < F.col("lo"), F.lit(True)))
-            .agg(F.round(F.sum("bad") / F.sum("n"), 4).alias("observed"), F.round(F.sum(F.col("q") * F.col("n")) / F.sum("n"), 4).alias("calibrated"),
-                 F.bool_and("ok").alias("monotone")))
+    """The staircase at every distinct PD of its own rows (in SQL the largest least mean over all spans that hold it)."""
+    cal = loans.scored(spark, sf).filter("split = 'calibration'")
+    cells = cal.groupBy("pd").agg(F.count(F.lit(1)).alias("n"))
+    return challengers.isotonic_calibrate(cal, "pd", "y").apply(cells, "pd", "q").withColumn("q", F.round("q", 9))
 
 
 def _versions(df, cal, p="p"):

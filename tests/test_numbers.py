@@ -242,16 +242,6 @@ def test_bootstrap_is_paired_and_centred(tied):
     assert np.std([g[i, "a"] for i in range(1, 61)]) > 0.01
 
 
-def test_neighbours_equal_brute_force(spark):
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(120, 3))
-    df = spark.createDataFrame([(i, v[i].tolist()) for i in range(120)], "id bigint, v array<double>")
-    got = {r["key"]: set(r["neighbours"]) for r in challengers.nearest_neighbours(df, "id", "v", 4, block_rows=25).collect()}
-    d = ((v[:, None] - v[None]) ** 2).sum(2)
-    np.fill_diagonal(d, np.inf)
-    assert got == {i: set(np.argsort(d[i])[:4].tolist()) for i in range(120)}
-
-
 def test_smote_balances_between_neighbours(spark):
     rng = np.random.default_rng(8)
     rows = [(f"k{i}", int(i < 13), float(rng.normal()), float(rng.normal())) for i in range(60)]
@@ -284,12 +274,6 @@ def test_differences(spark):
     assert {tuple(r) for r in parity.multiset_difference(a, b).collect()} == {("left", 1, "1", "x"), ("left", 1, "2", "y"), ("right", 1, "2", "z")}
 
 
-def test_isotonic_is_monotone_and_clipped(tied):
-    df, _ = tied
-    out = challengers.isotonic_calibrate(df, "p", "y").apply(df, "p", "q").select("p", "q").distinct().orderBy("p").toPandas()
-    assert (out.q.diff().dropna() >= -1e-12).all() and out.q.between(1e-6, 1 - 1e-6).all()
-
-
 def test_rank_measures_read_their_table_once_and_sums_need_no_order(spark, tmp_path):
     path = str(tmp_path / "scored")
     spark.range(500).selectExpr("cast(id % 7 as int) as v", "cast(id % 3 = 0 as int) as y", "(id % 50) / 50D as p").write.parquet(path)
