@@ -17,7 +17,8 @@ from loanloom.functions.stats import expit, logit
 from loanloom.operators.binning import long_values, value_cells
 from loanloom.operators.isotonic import Isotonic, isotonic_calibrate  # noqa: F401
 from loanloom.operators.neighbours import nearest_neighbours
-from loanloom.operators.ranks import exact_medians, hash_cut, within_cut
+from loanloom.operators.ranks import hash_cut, within_cut
+from loanloom.operators.selection import exact_medians
 
 RARE_ROWS = 50
 

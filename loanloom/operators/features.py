@@ -40,8 +40,15 @@ def exclusion_waterfall(joined: DataFrame) -> DataFrame:
 
 
 def group_medians(df: DataFrame, value: str, keys: tuple[str, ...], out: str) -> DataFrame:
-    """Exact medians of small-domain values (rates in basis points): the buffer is one counter per distinct value."""
-    return df.groupBy(*keys).agg(F.percentile(value, 0.5).alias(out))
+    """Exact medians of values with few distinct ones (rates in basis points): the values are counted before they are put
+    in order, and no group is buffered.  For values of any domain see ``selection.group_quantiles``."""
+    cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    up, down = (Window.partitionBy(*keys).orderBy(o) for o in (F.asc("_x"), F.desc("_x")))
+    until, since = F.sum("_n").over(up), F.sum("_n").over(down)
+    # a value is in the middle if at least half of the rows lie on either side up to and with it
+    middle = cells.withColumn("_until", until).withColumn("_since", since).filter((2 * F.col("_until") >= F.col("_until") + F.col("_since") - F.col("_n"))
+                                                                                  & (2 * F.col("_since") >= F.col("_until") + F.col("_since") - F.col("_n")))
+    return middle.groupBy(*keys).agg(((F.min("_x") + F.max("_x")) / 2).alias(out))
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loanloom import settings as S
 from loanloom.functions.stats import level_error, safe_ratio
 from loanloom.operators.ranks import equal_size_bins, running_before, score_cells
+from loanloom.operators.selection import group_quantiles
 
 
 def rank_measures():
@@ -176,9 +177,8 @@ def pooled_and_by_vintage(df: DataFrame, y: str, p: str, vintage: str = "vintage
 
 def percentile_ci(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """2.5 and 97.5 percentiles of replicate values; NaN and NULL dropped."""
-    both = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    kept = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return kept.groupBy(*by).agg(both.alias("_q")).select(*by, F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"))
+    both = group_quantiles(df, value, by, [0.025, 0.975])
+    return both.select(*by, F.col("quantiles")[0].alias("low"), F.col("quantiles")[1].alias("high"))
 
 
 def running_share(df: DataFrame, part: str) -> DataFrame:

@@ -11,6 +11,8 @@ from loanloom import settings as S
 from loanloom.functions.stats import safe_ratio, theory_cutoff
 from loanloom.operators.metrics import quantile_edges
 from loanloom.operators.ranks import equal_size_bins, running_before
+from loanloom.operators.selection import group_quantiles
+from loanloom.session import write_scratch
 
 
 def loan_profit(y: Column, ead: Column, margin: Column | float, loss: Column | float) -> Column:
@@ -154,13 +156,16 @@ def lgd_summary(loans: DataFrame, perf: DataFrame, by: str = "vintage_year") ->
     def over(cond, value):
         return F.sum(F.when(cond, value))
 
-    return join_loss_events(loans, perf).groupBy(by).agg(
+    rows = write_scratch(join_loss_events(loans, perf).select(by, "default_24m", "orig_upb", "loss_event", "actual_loss", "upb_at_end"), "losses")
+    sums = rows.groupBy(by).agg(
         F.count_if(flagged).alias("flagged_defaults"), F.count_if(flagged & F.col("loss_event")).alias("flagged_with_loss_event"),
         F.count_if("loss_event").alias("loss_event_loans"), F.count_if(amount).alias("loss_event_with_amount"),
         F.round(safe_ratio(over(amount, loss), over(amount, upb)), 4).alias("lgd_loss_events"),
-        F.round(F.percentile(F.when(amount, safe_ratio(loss, upb)), 0.5), 4).alias("median_loss_share"),
         F.round(F.avg(F.when(amount, (loss <= 0).cast("int"))), 4).alias("share_no_loss_or_gain"),
         F.round(safe_ratio(over(flagged, F.coalesce(loss, F.lit(0.0))), over(flagged, F.col("orig_upb"))), 4).alias("loss_per_flag"))
+    middle = group_quantiles(rows.filter(amount).select(by, safe_ratio(loss, upb).alias("share")), "share", [by], [0.5])
+    middle = middle.select(F.col(by).alias("_of"), F.round(F.col("quantiles")[0], 4).alias("median_loss_share"))
+    return sums.join(middle, F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def lifetime_loss(perf: DataFrame) -> DataFrame:

@@ -125,12 +125,3 @@ def within_cut(key: str, seed: str, cut):
     """Whether a row lies at or before the cut."""
     place = F.struct(hashing.uniform32(F.col(key), seed).alias("u"), F.col(key).alias("k"))
     return F.coalesce(place <= cut, F.lit(False))
-
-
-def exact_medians(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Median of x per group from (group, x, n) cells, middle values averaged."""
-    ranked = running_before(cells, ["n"], by)
-    low, high = F.floor((F.col("total_n") - 1) / 2), F.ceil((F.col("total_n") - 1) / 2)
-    holds = lambda r: (F.col("before_n") <= r) & (r < F.col("before_n") + F.col("n"))
-    middle = ranked.filter(holds(low) | holds(high))
-    return middle.groupBy(*by).agg(((F.min("x") + F.max("x")) / 2).alias("median"))
