@@ -9,7 +9,7 @@ from loanloom.operators import features as feat
 from loanloom.operators import monitoring, parity, quality, scoring
 from loanloom.plans import loans
 from loanloom.plans.oracle import SCORE_SQL, register
-from loanloom.plans.preparation import _path, rounded
+from loanloom.plans.preparation import FCOLS, FEATURE_COLS, _path, rounded
 from loanloom.plans.registry import query
 from loanloom.plans.risk import drill_report
 from loanloom.sources import logs, sinks
@@ -184,7 +184,12 @@ def _(spark, sf):
 
 
 # ---- control queries ----------------------------------------------------------------------------
+_CONTROLS = {}
+
+
 def _control(name, sql):
+    _CONTROLS[name] = sql
+
     def add(fn):
         return query(f"control_{name}", sql)(fn)
     return add
@@ -231,27 +236,34 @@ def raw_perf_loans(spark, sf):
     return loans.raw_performance(spark, sf).agg(F.countDistinct("loan_seq").alias("loans"))
 
 
-_LONG = """SELECT '{q}' AS query, {row} AS "row", {i} AS col, '{c}' AS name, CAST({c} AS varchar) AS value FROM ({sql})"""
+_LONG = """SELECT '{q}' AS query, {row} AS "row", {i} AS col, '{c}' AS name, CAST({value} AS varchar) AS value FROM ({sql})"""
+GOLDEN = {"dev_split_counts": (dev_split_counts, "split"), "dev_totals": (dev_totals, None), "dev_vintage_sums": (dev_vintage_sums, "vintage_year"),
+          "fresh_structure": (fresh_structure, "vintage_year"), "raw_orig_loans": (raw_orig_loans, None), "raw_perf_rows": (raw_perf_rows, None),
+          "raw_perf_loans": (raw_perf_loans, None)}
+_GOLDEN_COLUMNS = {"dev_split_counts": "split loans defaults", "dev_totals": "loans defaults",
+                   "dev_vintage_sums": "vintage_year loans sum_score sum_dti sum_term avg_spread",
+                   "fresh_structure": "vintage_year loans distinct_loans sum_score first_payment_min", "raw_orig_loans": "n_rows loans",
+                   "raw_perf_rows": "monthly_rows", "raw_perf_loans": "loans"}
 
 
 def _golden_sql():
-    from loanloom.plans.registry import ORACLES
-    plain = {"dev_totals": (["loans", "defaults"], "1", "SELECT CAST(count(*) AS bigint) AS loans, CAST(sum(default_24m) AS bigint) AS defaults FROM features"),
-             "dev_split_counts": (["split", "loans", "defaults"], "row_number() OVER (ORDER BY split)",
-                                  "SELECT split, CAST(count(*) AS bigint) AS loans, CAST(sum(default_24m) AS bigint) AS defaults FROM features GROUP BY 1"),
-             "raw_perf_rows": (["monthly_rows"], "1", "SELECT CAST(count(*) AS bigint) AS monthly_rows FROM raw_perf")}
-    return " UNION ALL ".join(_LONG.format(q=q, row=f"CAST({r} AS integer)", i=i, c=c, sql=sql)
-                              for q, (cols, r, sql) in plain.items() for i, c in enumerate(cols))
+    parts = []
+    for name, (_fn, order) in GOLDEN.items():
+        row = f"CAST({f'row_number() OVER (ORDER BY {order})' if order else 1} AS integer)"
+        for i, c in enumerate(_GOLDEN_COLUMNS[name].split()):
+            value = f"CAST({c} AS decimal(38,6))" if c == "avg_spread" else c
+            parts.append(_LONG.format(q=name, row=row, i=i, c=c, value=value, sql=_CONTROLS[name]))
+    return " UNION ALL ".join(parts)
 
 
 @query("golden_answers", _golden_sql())
 def _(spark, sf):
-    return parity.golden_answers({"dev_totals": (dev_totals(spark, sf), []), "dev_split_counts": (dev_split_counts(spark, sf), ["split"]),
-                                  "raw_perf_rows": (raw_perf_rows(spark, sf), [])})
+    return parity.golden_answers({name: (fn(spark, sf), [order] if order else []) for name, (fn, order) in GOLDEN.items()})
 
 
 # ---- parity -------------------------------------------------------------------------------------
-register("altered", """SELECT loan_seq, vintage_year, CASE WHEN state='NATION_1' AND vintage_quarter=2 THEN dti+1 ELSE dti END AS dti, rate_spread, split
+_CHANGED = "CASE WHEN state='NATION_1' AND vintage_quarter=2 THEN dti+1 ELSE dti END AS dti"
+register("altered", f"""SELECT {", ".join(_CHANGED if c == "dti" else c for c in FEATURE_COLS)}
     FROM features WHERE NOT (state='NATION_2' AND vintage_quarter=3)""")
 
 
@@ -259,11 +271,11 @@ def altered(spark, sf):
     c = F.col
     df = loans.features(spark, sf).filter(~((c("state") == "NATION_2") & (c("vintage_quarter") == 3)))
     dti = F.when((c("state") == "NATION_1") & (c("vintage_quarter") == 2), c("dti") + 1).otherwise(c("dti"))
-    return df.select("loan_seq", "vintage_year", dti.alias("dti"), "rate_spread", "split")
+    return df.withColumn("dti", dti).select(*FEATURE_COLS)
 
 
-def narrow(spark, sf):
-    return loans.features(spark, sf).select("loan_seq", "vintage_year", "dti", "rate_spread", "split")
+def whole(spark, sf):
+    return loans.features(spark, sf).select(*FEATURE_COLS)
 
 
 @query("union_all_by_name", """SELECT source, CAST(count(*) AS bigint) AS loans, CAST(count(several_borrowers) AS bigint) AS with_flag FROM (
@@ -274,26 +286,34 @@ def _(spark, sf):
     return both.groupBy("source").agg(F.count(F.lit(1)).alias("loans"), F.count("several_borrowers").alias("with_flag"))
 
 
-@query("symmetric_difference", """WITH a AS (SELECT loan_seq, vintage_year, dti, split FROM features), b AS (SELECT loan_seq, vintage_year, dti, split FROM altered)
-    SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
+_ALL = ", ".join(FEATURE_COLS)
+
+
+@query("symmetric_difference", f"""SELECT side, {FCOLS} FROM (SELECT 'left' AS side, * FROM (SELECT {_ALL} FROM features EXCEPT SELECT {_ALL} FROM altered)
+    UNION ALL SELECT 'right', * FROM (SELECT {_ALL} FROM altered EXCEPT SELECT {_ALL} FROM features))""")
 def _(spark, sf):
-    return parity.symmetric_difference(narrow(spark, sf).drop("rate_spread"), altered(spark, sf).drop("rate_spread"))
+    """Whole rows that only one of the tables has."""
+    return rounded(parity.symmetric_difference(whole(spark, sf), altered(spark, sf)), "rate_spread")
 
 
-@query("multiset_difference", """WITH a AS (SELECT vintage_year, dti, count(*) AS n FROM features GROUP BY 1,2), b AS (SELECT vintage_year, dti, count(*) AS n FROM altered GROUP BY 1,2)
-    SELECT CASE WHEN coalesce(a.n,0)>coalesce(b.n,0) THEN 'left' ELSE 'right' END AS side, CAST(abs(coalesce(a.n,0)-coalesce(b.n,0)) AS bigint) AS copies,
-      CAST(coalesce(a.vintage_year,b.vintage_year) AS varchar) AS vintage_year, CAST(coalesce(a.dti,b.dti) AS varchar) AS dti
-    FROM a FULL JOIN b ON a.vintage_year=b.vintage_year AND a.dti IS NOT DISTINCT FROM b.dti WHERE coalesce(a.n,0)<>coalesce(b.n,0)""")
+_DOUBLES = ("int_rate", "orig_upb", "rate_spread")
+_TEXTS = ", ".join(f"CAST({f'CAST(round({c},6) AS decimal(38,6))' if c in _DOUBLES else c} AS varchar) AS {c}" for c in FEATURE_COLS)
+
+
+@query("multiset_difference", f"""WITH a AS (SELECT {_TEXTS}, 1 AS side FROM features),
+    b AS (SELECT {_TEXTS}, -1 AS side FROM (SELECT * FROM altered UNION ALL SELECT * FROM altered WHERE state='NATION_3')), both_sides AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+    SELECT CASE WHEN sum(side) > 0 THEN 'left' ELSE 'right' END AS side, CAST(abs(sum(side)) AS bigint) AS copies, {_ALL} FROM both_sides GROUP BY {_ALL} HAVING sum(side) <> 0""")
 def _(spark, sf):
-    cols = ["vintage_year", "dti"]
-    return parity.multiset_difference(narrow(spark, sf).select(*cols), altered(spark, sf).select(*cols))
+    """Whole rows that one table has more often than the other."""
+    other = altered(spark, sf)
+    return parity.multiset_difference(whole(spark, sf), other.unionByName(other.filter("state = 'NATION_3'")))
 
 
 @query("table_parity", """SELECT f.loan_seq, CASE WHEN a.loan_seq IS NULL THEN '*' ELSE 'dti' END AS "column", CASE WHEN a.loan_seq IS NULL THEN 'present' ELSE CAST(f.dti AS varchar) END AS "left",
     CASE WHEN a.loan_seq IS NOT NULL THEN CAST(a.dti AS varchar) END AS "right" FROM features f LEFT JOIN altered a USING (loan_seq) WHERE a.loan_seq IS NULL OR a.dti IS DISTINCT FROM f.dti""")
 def _(spark, sf):
     nudged = altered(spark, sf).withColumn("rate_spread", F.col("rate_spread") + 1e-8)  # inside the tolerance
-    return parity.table_parity(narrow(spark, sf), nudged, ["loan_seq"])
+    return parity.table_parity(whole(spark, sf), nudged, ["loan_seq"])
 
 
 @query("parity_full_compare", """WITH a AS (SELECT row_number() OVER (ORDER BY split) AS r, split, count(*) AS loans FROM features GROUP BY split),
@@ -301,11 +321,15 @@ def _(spark, sf):
     SELECT CAST(a.r AS integer) AS "row", 'loans' AS "column", CAST(a.loans AS varchar) AS "left", CAST(b.loans AS varchar) AS "right" FROM a JOIN b USING (r) WHERE a.loans<>b.loans""")
 def _(spark, sf):
     count = lambda df: df.groupBy("split").agg(F.count(F.lit(1)).alias("loans"))
-    return parity.parity_full_compare(count(narrow(spark, sf)), count(altered(spark, sf)), ["split"])
+    return parity.parity_full_compare(count(whole(spark, sf)), count(altered(spark, sf)), ["split"])
+
 
+def _prefixed(c):
+    text = f"CAST({f'CAST(round({c},6) AS decimal(38,6))' if c in _DOUBLES else c} AS varchar)"
+    return f"coalesce(CAST(length({text}) AS varchar) || ':' || {text}, 'N')"
 
-PRINT = ["loan_seq", "vintage_year", "dti", "split"]
-_TEXT = " || '|' || ".join(f"coalesce(CAST({c} AS varchar),'~')" for c in PRINT)
+
+_TEXT = " || ".join(_prefixed(c) for c in sorted(FEATURE_COLS) if c != "vintage_year")
 
 
 def print_sql(source):
@@ -313,17 +337,20 @@ def print_sql(source):
       CAST(sum(CAST('0x'||substr(md5({_TEXT}),9,8) AS bigint)) AS varchar) AS hash_b FROM {source} GROUP BY 1"""
 
 
+def printed(df):
+    """Prints by vintage of all columns; fractions in a form that engines write alike."""
+    return parity.table_fingerprint(df.withColumns({c: F.round(c, 6).cast("decimal(38,6)") for c in _DOUBLES}), by=["vintage_year"])
+
+
 @query("table_fingerprint", print_sql("features"))
 def _(spark, sf):
-    return parity.table_fingerprint(narrow(spark, sf), PRINT, ["vintage_year"])
+    return printed(whole(spark, sf))
 
 
 @query("manifest_compare", f"""SELECT vintage_year, CASE WHEN b.n_rows IS NULL THEN 'removed' WHEN a.hash_a<>b.hash_a OR a.hash_b<>b.hash_b OR a.n_rows<>b.n_rows THEN 'changed' ELSE 'same' END AS state
     FROM ({print_sql('features')}) a LEFT JOIN ({print_sql('(SELECT * FROM altered WHERE vintage_year<>1997)')}) b USING (vintage_year)""")
 def _(spark, sf):
-    stored = parity.table_fingerprint(narrow(spark, sf), PRINT, ["vintage_year"])
-    now = parity.table_fingerprint(altered(spark, sf).filter("vintage_year <> 1997"), PRINT, ["vintage_year"])
-    return parity.manifest_compare(stored, now, "vintage_year")
+    return parity.manifest_compare(printed(whole(spark, sf)), printed(altered(spark, sf).filter("vintage_year <> 1997")), "vintage_year")
 
 
 @query("config_tables", """SELECT name, value, CAST((SELECT count(*) FROM scored WHERE pd<value) AS bigint) AS loans_below FROM (VALUES

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zipfile
 from collections.abc import Iterator
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 from loanloom.sources.readers import _open_path
 
+#: Bytes of a chunk that one task hashes, digests joined into one, bytes read at a time.
+CHUNK, FAN, BLOCK = 64 << 20, 1024, 1 << 20
+
 
 def sink_parquet_year(df: DataFrame, path: str, year: str = "source_year") -> None:
     """Compressed Parquet, one folder per year.
@@ -108,11 +112,59 @@ def register_lake_views(spark: SparkSession, tables: dict[str, str]) -> list[str
     return sorted(tables)
 
 
-def file_manifest(spark: SparkSession, pattern: str) -> DataFrame:
-    """(name, size, sha256) of every file, hashed where the file is read."""
-    return (spark.read.format("binaryFile").load(pattern)
-            .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"),
-                    F.sha2("content", 256).alias("sha256")))
+def listed_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """(path, size) of the files that match, or lie in folders that match; hidden ones are left out, empty ones are not."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(pattern)
+    filesystem = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    found = []
+    for status in filesystem.globStatus(folder) or []:
+        inside = filesystem.listFiles(status.getPath(), True)
+        while inside.hasNext():
+            file = inside.next()
+            if not file.getPath().getName().startswith(("_", ".")):
+                found.append((file.getPath().toString(), file.getLen()))
+    return spark.createDataFrame(found, "path string, size bigint")
+
+
+def file_manifest(spark: SparkSession, pattern: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """(name, size, sha256) of every file, from byte ranges that are hashed apart.
+
+    A file of up to ``chunk`` bytes has its plain SHA-256.  A larger one has the root of a hash tree: the SHA-256 of its
+    chunks, then of the joined hexadecimal digests of up to ``fan`` neighbours, level by level.  So a file of any size is
+    many short tasks, and compares with another manifest of the same chunk and fan.
+    """
+    listed = listed_files(spark, pattern)
+    longest = listed.agg(F.max("size")).first()[0] or 0
+    last = F.greatest(F.ceil(F.col("size") / chunk) - 1, F.lit(0))
+    ranges = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("part")).repartition("path", "part")
+
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                filesystem, inner = _open_path(row.path)
+                digest, at, end = hashlib.sha256(), row.part * chunk, min((row.part + 1) * chunk, row.size)
+                with filesystem.open_input_file(inner) as file:
+                    file.seek(at)
+                    while at < end:
+                        block = file.read(min(BLOCK, end - at))
+                        if not block:
+                            raise OSError(f"{row.path} ends at {at}, not at {row.size}")
+                        digest.update(block)
+                        at += len(block)
+                found.append(digest.hexdigest())
+            yield batch.assign(sha256=found)
+
+    tree = ranges.mapInPandas(digests, "path string, size bigint, part bigint, sha256 string")
+    nodes, span = max(1, -(-longest // chunk)), chunk
+    while nodes > 1:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "sha256"))), lambda s: s["sha256"]), "")
+        grown = tree.groupBy("path", "size", F.floor(F.col("part") / fan).alias("parent")).agg(joined.alias("joined"))
+        at_root = F.col("size") <= span  # its only node stays as it is
+        tree = grown.select("path", "size", F.col("parent").alias("part"), F.when(at_root, F.col("joined")).otherwise(F.sha2("joined", 256)).alias("sha256"))
+        nodes, span = -(-nodes // fan), span * fan
+    return tree.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "sha256")
 
 
 def file_manifest_diff(local: DataFrame, remote: DataFrame) -> DataFrame:
