@@ -112,16 +112,57 @@ def stratified_split(df: DataFrame, y: str, key: str, share: float, seed: str) -
     return tagged.filter(~inside).drop("cut").select(df.columns), tagged.filter(inside).drop("cut").select(df.columns)
 
 
-def fit_boosted_trees(train: DataFrame, y: str = "y", key: str = "loan_seq", trees: int = 100, step: float = 0.1, weight: Column | None = None,
-                      seed: str = "inner", **features) -> Fitted:
-    """Gradient boosting of depth-3 trees; a stratified 15 % inner holdout stops it early."""
-    inner, held = stratified_split(train, y, key, 0.15, seed)
+@dataclass
+class Boosted(Fitted):
+    """Boosted trees cut at the round of least hold-out loss; ``losses`` holds the loss after every round tried."""
+
+    losses: list[float]
+
+    @property
+    def rounds(self) -> int:
+        return self.losses.index(min(self.losses)) + 1
+
+
+def boosted_classifier(trees: int, step: float = S.TREES["step"]) -> GBTClassifier:
+    return GBTClassifier(featuresCol="features", labelCol="_y", weightCol="_w", maxDepth=S.TREES["depth"], maxIter=trees, stepSize=step,
+                         subsamplingRate=S.TREES["row_share"], featureSubsetStrategy=str(S.TREES["column_share"]),
+                         minInstancesPerNode=S.TREES["least_rows"], seed=S.TREES["seed"])
+
+
+def fit_boosted_trees(train: DataFrame, y: str = "y", key: str = "loan_seq", trees: int = S.TREES["limit"], step: float = S.TREES["step"],
+                      patience: int = S.TREES["patience"], weight: Column | None = None, seed: str = "inner", **features) -> Boosted:
+    """Gradient boosting of shallow trees, as many as serve a stratified 15 % inner hold-out best.
+
+    The fit grows in stages of doubling length and looks at the hold-out loss after every round.  It ends when the best
+    round lies ``patience`` rounds back, or at ``trees`` rounds.  Rounds don't depend on how many follow, so the
+    model is then cut by fitting up to the best round.
+    """
+    inner, held = stratified_split(train, y, key, S.TREES["held_share"], seed)
     preparation = prep_features(inner, y, **features)
-    both = inner.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
-    both = both.withColumn("_y", F.col(y).cast("double")).withColumn("_w", F.lit(1.0) if weight is None else weight)
-    ready = preparation.transform(both, ["_y", "_w", "_held"])
-    model = GBTClassifier(featuresCol="features", labelCol="_y", weightCol="_w", maxDepth=3, maxIter=trees, stepSize=step, subsamplingRate=0.8,
-                          minInstancesPerNode=5, validationIndicatorCol="_held", seed=42).fit(ready)
+    weighted = [df.withColumn("_y", F.col(y).cast("double")).withColumn("_w", F.lit(1.0) if weight is None else weight) for df in (inner, held)]
+    fit_on, watch = (preparation.transform(df, ["_y", "_w"]).persist() for df in weighted)
+    try:
+        stage, losses = min(trees, patience + 10), []
+        while True:
+            losses = [float(x) for x in boosted_classifier(stage, step).fit(fit_on).evaluateEachIteration(watch)]
+            best = losses.index(min(losses)) + 1
+            if stage >= trees or best + patience <= stage:
+                break
+            stage = min(trees, 2 * stage)
+        losses = losses[:min(stage, best + patience)]
+        return Boosted(preparation, boosted_classifier(best, step).fit(fit_on), losses)
+    finally:
+        fit_on.unpersist()
+        watch.unpersist()
+
+
+def fit_trees(train: DataFrame, trees: int, y: str = "y", preparation: Preparation | None = None, weight: Column | None = None, **features) -> Fitted:
+    """Boosting of a given number of trees on all training rows."""
+    preparation = preparation or prep_features(train, y, **features)
+    rows = train.withColumn("_y", F.col(y).cast("double")).withColumn("_w", F.lit(1.0) if weight is None else weight)
+    ready = preparation.transform(rows, ["_y", "_w"]).persist()
+    model = boosted_classifier(trees).fit(ready)
+    ready.unpersist()
     return Fitted(preparation, model)
 
 

@@ -255,3 +255,6 @@ MEMO_PERCENT_FIELDS = ("dti", "ltv", "cltv", "interest_rate", "reference_rate",
 SAFETY_CODES = ("NUMBER_NOT_IN_FACTS", "SPELLED_NUMBER", "DECISION_MISSING", "DECISION_CONFLICT", "DISCLAIMER_MISSING",
                 "CAUTION_MISSING", "OUTSIDE_RANGE_MISSING", "RISK_MISSING", "FORBIDDEN_PHRASE", "DATA_SECTION_ALTERED")
 FORM_CODES = ("EMPTY", "SECTIONS", "TEXT_OUTSIDE_SECTIONS", "EMPTY_SECTION", "LENGTH")
+
+# fixed values: boosted trees
+TREES = {"limit": 600, "step": 0.05, "depth": 3, "least_rows": 5, "row_share": 0.8, "column_share": 0.8, "patience": 40, "held_share": 0.15, "seed": 42}
