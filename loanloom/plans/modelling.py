@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanloom import settings as S
 from loanloom.functions import hashing
 from loanloom.functions.stats import logit
-from loanloom.operators import binning, bootstrap, challengers, metrics, neighbours, scorecard, scoring, stability
+from loanloom.operators import binning, bootstrap, challengers, folds, metrics, neighbours, scorecard, scoring, stability
 from loanloom.plans import loans
 from loanloom.plans.oracle import ADOPTED, band_index_case, register, uniform32
 from loanloom.plans.preparation import rounded
@@ -411,25 +411,17 @@ def _(spark, sf):
 
 @query("leave_one_vintage_out")
 def _(spark, sf):
-    numeric, categorical = stability.CANDIDATE_SETS["F within-era features (no state/channel/super_conf.)"]
-    return rounded(stability.leave_one_vintage_out(inputs(spark, sf), numeric, categorical, min_iv=0.0), "gini", "pred_over_obs")
+    """Every candidate set with every vintage left out."""
+    return rounded(folds.leave_one_vintage_out(inputs(spark, sf), stability.CANDIDATE_SETS, min_iv=MIN_IV), "gini", "pred_over_obs")
 
 
 @query("refit_without_vintage")
 def _(spark, sf):
-    """Level and rank per vintage of the card refitted without the oldest vintage, next to the full refit."""
+    """Level and rank per vintage of the card refitted without the oldest vintage, bands included, next to the full refit."""
     rows = inputs(spark, sf)
-    specs = {f: {k: v for k, v in s.items() if k != "points"} for f, s in ADOPTED.items()}
-    fit = lambda df: scorecard.fit_scorecard(df, "y", S.V2_NUMERIC, S.V2_CATEGORICAL, specs=specs, min_iv=0.0)
-    both = {"all_vintages": fit(rows), "without_1995": fit(rows.filter("vintage_year <> 1995"))}
-    out = None
-    for name, c in both.items():
-        part = c.predict_pd(rows, "pd").select(F.lit(name).alias("model"), "vintage_year", "y", "pd")
-        out = part if out is None else out.unionByName(part)
-    flat = write_scratch(out, "refit")
-    levels = metrics.level_table(flat, "y", "pd", ["model", "vintage_year"])
-    gini = metrics.evaluate(flat, "y", "pd", ["model", "vintage_year"], ["gini"])
-    return rounded(levels.join(gini, ["model", "vintage_year"]), "predicted_defaults", "observed_rate", "predicted_rate", "ratio", "level_error", "default_count_miss", "gini")
+    oldest = rows.agg(F.min("vintage_year")).first()[0]
+    table = folds.refit_without_vintage(rows, S.V2_NUMERIC, S.V2_CATEGORICAL, oldest, min_iv=MIN_IV)
+    return rounded(table, "predicted_defaults", "observed_rate", "predicted_rate", "ratio", "level_error", "default_count_miss", "gini")
 
 
 # ---- arms and intervals -------------------------------------------------------------------------
