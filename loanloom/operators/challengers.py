@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanloom import settings as S
@@ -19,6 +19,7 @@ from loanloom.operators.isotonic import Isotonic, isotonic_calibrate  # noqa: F4
 from loanloom.operators.neighbours import nearest_neighbours
 from loanloom.operators.ranks import hash_cut, within_cut
 from loanloom.operators.selection import exact_medians
+from loanloom.session import write_scratch
 
 RARE_ROWS = 50
 
@@ -62,15 +63,29 @@ def standardise(train: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
     return {c: (F.col(c) - one[c][0]) / (one[c][1] or 1.0) for c in columns}
 
 
-def label_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Categories -> 0-based integers by sorted order."""
-    from pyspark.ml.feature import StringIndexer
+def label_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, label, code): the 0-based place of every label among its column's, in sorted order.
 
-    indexer = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_code" for c in columns], stringOrderType="alphabetAsc",
-                            handleInvalid="keep")
-    out = indexer.fit(df).transform(df)
-    return out.select("*", *[F.col(f"{c}_code").cast("int").alias(f"_{c}") for c in columns]).drop(*[f"{c}_code" for c in columns]) \
-        .withColumnsRenamed({f"_{c}": f"{c}_code" for c in columns})
+    The distinct labels are written in value ranges; a label's code is its place in its range plus what the earlier
+    ranges hold, so no column is numbered in one task and no label comes to the driver.
+    """
+    labels = long_values(df, columns, "string", []).filter("x IS NOT NULL").groupBy("feature", F.col("x").alias("label")).agg(F.lit(0).alias("_")).drop("_")
+    ranged = write_scratch(labels.repartitionByRange("feature", "label").withColumn("range", F.spark_partition_id()), "labels")
+    inside = F.row_number().over(Window.partitionBy("feature", "range").orderBy("label"))
+    earlier = Window.partitionBy("feature").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranged.groupBy("feature", "range").agg(F.count(F.lit(1)).alias("n")).select("feature", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return ranged.withColumn("place", inside).join(held, ["feature", "range"]).select("feature", "label", (F.col("place") + F.col("before") - 1).cast("int").alias("code"))
+
+
+def label_encode(df: DataFrame, columns: Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """Adds ``<column>_code``: 0-based integers by sorted order; NULL and labels that a given dictionary lacks come after the last."""
+    codes = write_scratch(label_dictionary(df, columns) if dictionary is None else dictionary, "codes")
+    for c in columns:
+        own = codes.filter(F.col("feature") == c)
+        known = own.select(F.col("label").alias("_label"), F.col("code").alias(f"{c}_code"))
+        count = own.agg(F.count(F.lit(1)).cast("int"))
+        df = df.join(known, F.col(c).cast("string") == F.col("_label"), "left").drop("_label").withColumn(f"{c}_code", F.coalesce(f"{c}_code", count.scalar()))
+    return df
 
 
 @dataclass

@@ -158,16 +158,19 @@ def _(spark, sf):
     return one.select(each.alias("c")).select("c.*")
 
 
-@query("standardise", """SELECT loan_seq, round((ltv-(SELECT avg(ltv) FROM train))/(SELECT stddev_pop(ltv) FROM train),6) AS ltv,
-    round((orig_upb-(SELECT avg(orig_upb) FROM train))/(SELECT stddev_pop(orig_upb) FROM train),6) AS orig_upb FROM inputs""")
+@query("standardise", "SELECT loan_seq, " + ", ".join(f"round(({c}-(SELECT avg({c}) FROM train))/(SELECT stddev_pop({c}) FROM train),6) AS {c}" for c in NUMERIC) + " FROM inputs")
 def _(spark, sf):
-    e = challengers.standardise(train_rows(spark, sf), ["ltv", "orig_upb"])
-    return rounded(inputs(spark, sf).select("loan_seq", *[x.alias(c) for c, x in e.items()]), "ltv", "orig_upb")
+    e = challengers.standardise(train_rows(spark, sf), NUMERIC)
+    return rounded(inputs(spark, sf).select("loan_seq", *[x.alias(c) for c, x in e.items()]), *NUMERIC)
 
 
-@query("label_encode", """SELECT loan_seq, state, CAST((SELECT count(DISTINCT state) FROM features f2 WHERE f2.state < f.state) AS integer) AS state_code FROM features f""")
+_ENCODED = ", ".join(f"{c}, CAST((SELECT count(DISTINCT {c}) FROM features g WHERE f.{c} IS NULL OR g.{c} < f.{c}) AS integer) AS {c}_code" for c in S.CATEGORICAL_FEATURES)
+
+
+@query("label_encode", f"SELECT loan_seq, {_ENCODED} FROM features f")
 def _(spark, sf):
-    return challengers.label_encode(loans.features(spark, sf).select("loan_seq", "state"), ["state"])
+    """Codes of every categorical input."""
+    return challengers.label_encode(loans.features(spark, sf).select("loan_seq", *S.CATEGORICAL_FEATURES), S.CATEGORICAL_FEATURES)
 
 
 @query("class_weights", "SELECT round(count_if(y=0)/count_if(y=1)::double,6) AS weight FROM train")

@@ -385,8 +385,8 @@ def _(spark, sf):
     return monitoring.perturb_default_rate(df, 1.25, "loan_seq", "d")
 
 
-#: Loans in a drill batch; the same at every scale, and small enough for the smallest table to keep a reference besides.
-DRILL_BATCH = 500
+#: Loans in a drill batch, as configured.  A pool that holds no more is the whole batch, and its reference is empty.
+DRILL_BATCH = S.MONITORING["drill_batch"]
 
 register("pool", f"""SELECT *, row_number() OVER (ORDER BY {uniform32("loan_seq || '20261012'")}, loan_seq) AS place FROM inputs WHERE vintage_year<=1998""")
 register("drill_ref0", f"SELECT *, {SCORE_SQL} AS score FROM pool WHERE place>{DRILL_BATCH}")
@@ -427,7 +427,7 @@ register("drill_monitors", monitors_sql("drill_ref", "drill_counts", "drill", "d
 
 def drill_report(spark, sf):
     pool = loans.with_borrower_flag(loans.features(spark, sf)).filter(F.col("vintage_year") <= loans.DEV_MAX_VINTAGE)
-    return monitoring.drift_drill_grid(scoring.adopted_model(), pool.withColumn("y", F.col("default_24m")), size=DRILL_BATCH)
+    return monitoring.drift_drill_grid(scoring.adopted_model(), pool.withColumn("y", F.col("default_24m")))
 
 
 @query("drift_drill_grid", report_sql("drill_monitors", "drill"))

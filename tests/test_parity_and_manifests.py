@@ -88,3 +88,21 @@ def test_one_changed_byte_far_into_a_file_is_found(spark, tmp_path):
     sides = [sinks.file_manifest(spark, str(tmp_path / s / "*.bin"), chunk=64, fan=4) for s in ("here", "there")]
     got = {r["name"]: (r["action"], r["problem"]) for r in sinks.file_manifest_diff(*sides).collect()}
     assert got == {"big.bin": ("upload", "checksum differs"), "same.bin": ("skip", None)}
+
+
+def test_files_of_a_skewed_year_follow_its_volume(spark, tmp_path):
+    """One year with 95 % of the rows becomes many files of a bounded size, and a small year one file."""
+    rows = spark.range(0, 200_000, 1, 8).selectExpr("md5(cast(id as string)) AS v", "if(id % 20 < 19, 1999, cast(2000 + id % 3 as int)) AS source_year")
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.sink_parquet_year(rows, str(tmp_path / "years"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    sizes = {}
+    for file in (tmp_path / "years").rglob("*.parquet"):
+        sizes.setdefault(file.parent.name, []).append(file.stat().st_size)
+    large = sizes["source_year=1999"]
+    assert len(large) >= 4 and max(large) < 1.6 * min(sum(large) / len(large), 1 << 20)
+    assert all(len(v) == 1 for k, v in sizes.items() if k != "source_year=1999")
+    assert spark.read.parquet(str(tmp_path / "years")).count() == 200_000
