@@ -40,26 +40,31 @@ def drift_universe(reference: DataFrame, current: DataFrame, batch: str) -> Data
                        F.coalesce(F.col("_by")[F.col(batch)], F.lit(0)).alias("cur_n"))
 
 
-def psi(universe: DataFrame, by: Sequence[str] = ("monitor",), floor: float = S.MONITORING["share_floor"]) -> DataFrame:
-    """Stability index per group; a side without observations stops the job."""
+def psi(universe: DataFrame, by: Sequence[str] = ("monitor",), floor: float = S.MONITORING["share_floor"], needed: bool = True) -> DataFrame:
+    """Stability index per group; a side without observations stops the job, or gives NULL if it isn't ``needed``."""
     group = Window.partitionBy(*by)
 
     def share(n):
         total = F.sum(n).over(group)
-        return F.when(total > 0, F.col(n) / total).otherwise(F.raise_error(F.lit("no observations")).cast("double"))
+        nothing = F.raise_error(F.lit("no observations")) if needed else F.lit(None)
+        return F.when(total > 0, F.col(n) / total).otherwise(nothing.cast("double"))
 
     shares = universe.withColumn("_r", share("ref_n")).withColumn("_c", share("cur_n"))
-    return shares.groupBy(*by).agg(F.sum(psi_term(F.col("_r"), F.col("_c"), floor)).alias("psi"))
+    known = F.col("_r").isNotNull() & F.col("_c").isNotNull()
+    return shares.groupBy(*by).agg(F.sum(F.when(known, psi_term(F.col("_r"), F.col("_c"), floor))).alias("psi"))
 
 
 def drift_flags(values: DataFrame) -> DataFrame:
     return values.withColumn("flag", psi_flag(F.col("psi")))
 
 
-def compare_batches(record: Mapping, reference: DataFrame, batches: DataFrame, batch: str) -> DataFrame:
-    """(batch, monitor) -> psi and flag for all batches against one reference, plus the level monitor."""
+def compare_batches(record: Mapping, reference: DataFrame, batches: DataFrame, batch: str, needed: bool = True) -> DataFrame:
+    """(batch, monitor) -> psi and flag for all batches against one reference, plus the level monitor.
+
+    An empty reference stops the job; if it isn't ``needed``, the indices are NULL and raise no flag.
+    """
     universe = drift_universe(monitor_counts(reference, record), monitor_counts(batches, record, [batch]), batch)
-    indices = drift_flags(psi(universe, [batch, "monitor"]))
+    indices = drift_flags(psi(universe, [batch, "monitor"], needed=needed))
     level = batches.groupBy(batch).agg(F.avg("y").alias("observed"), F.avg("pd").alias("predicted"))
     ratio = safe_ratio(F.col("observed"), F.col("predicted"))
     level = level.select(batch, F.lit("level_ratio").alias("monitor"), ratio.alias("psi"), level_flag(ratio).alias("flag"))
@@ -133,7 +138,8 @@ def drift_drill_grid(record: Mapping, pool: DataFrame, key: str = "loan_seq", si
                      drills: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Control and every drill through the monitors: one union keyed by drill, one comparison.
 
-    ``pool`` has the model inputs and ``y``.  The sampled batch is written once because ten drills read it.
+    ``pool`` has the model inputs and ``y``.  The sampled batch is written once because ten drills read it.  A pool that
+    holds no more than the batch leaves no reference: then only the level is judged, and the indices are NULL.
     """
     seed = S.MONITORING["drill_seed"]
     size = S.MONITORING["drill_batch"] if size is None else size
@@ -145,7 +151,7 @@ def drift_drill_grid(record: Mapping, pool: DataFrame, key: str = "loan_seq", si
     parts = [batch.withColumn("drill", F.lit("C0"))]
     parts += [perturb(batch, spec, key, seed + "-shift").withColumn("drill", F.lit(d)) for d, spec in drills.items()]
     damaged = score_batch(record, reduce(lambda a, b: a.unionByName(b), parts))
-    return batch_report(compare_batches(record, score_batch(record, rest), damaged, "drill"), "drill")
+    return batch_report(compare_batches(record, score_batch(record, rest), damaged, "drill", needed=False), "drill")
 
 
 def _numeric(record: Mapping) -> list[str]:

@@ -266,7 +266,7 @@ def monitors_sql(ref: str, cur: str, batch: str, rows: str) -> str:
     return f"""
     SELECT {batch}, monitor, value, CASE WHEN value>=0.25::double THEN 'alert' WHEN value>=0.1::double THEN 'warn' ELSE 'ok' END AS flag FROM (
       SELECT {batch}, monitor, sum((c-r)*ln(c/r)) AS value FROM (
-        SELECT b.{batch}, g.monitor, greatest(coalesce(rc.n,0)/(sum(coalesce(rc.n,0)) OVER w)::double,0.0001::double) AS r,
+        SELECT b.{batch}, g.monitor, CASE WHEN sum(coalesce(rc.n,0)) OVER w>0 THEN greatest(coalesce(rc.n,0)/(sum(coalesce(rc.n,0)) OVER w)::double,0.0001::double) END AS r,
                greatest(coalesce(cc.n,0)/(sum(coalesce(cc.n,0)) OVER w)::double,0.0001::double) AS c
         FROM (SELECT DISTINCT monitor, band FROM (SELECT monitor, band FROM {ref} UNION ALL SELECT monitor, band FROM {cur})) g
           CROSS JOIN (SELECT DISTINCT {batch} FROM {cur}) b LEFT JOIN {ref} rc ON rc.monitor=g.monitor AND rc.band=g.band
@@ -388,7 +388,7 @@ def _(spark, sf):
 #: Loans in a drill batch, as configured.  A pool that holds no more is the whole batch, and its reference is empty.
 DRILL_BATCH = S.MONITORING["drill_batch"]
 
-register("pool", f"""SELECT *, row_number() OVER (ORDER BY {uniform32("loan_seq || '20261012'")}, loan_seq) AS place FROM inputs WHERE vintage_year<=1998""")
+register("pool", f"""SELECT *, row_number() OVER (ORDER BY {uniform32("loan_seq || '20261012'")}, loan_seq) AS place FROM inputs""")
 register("drill_ref0", f"SELECT *, {SCORE_SQL} AS score FROM pool WHERE place>{DRILL_BATCH}")
 register("drill_ref", counts_sql("drill_ref0", ""))
 _SH = "20261012-shift"
@@ -426,7 +426,7 @@ register("drill_monitors", monitors_sql("drill_ref", "drill_counts", "drill", "d
 
 
 def drill_report(spark, sf):
-    pool = loans.with_borrower_flag(loans.features(spark, sf)).filter(F.col("vintage_year") <= loans.DEV_MAX_VINTAGE)
+    pool = loans.with_borrower_flag(loans.features(spark, sf))
     return monitoring.drift_drill_grid(scoring.adopted_model(), pool.withColumn("y", F.col("default_24m")))
 
 
