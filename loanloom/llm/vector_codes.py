@@ -26,9 +26,9 @@ from loanloom.session import discard, write_scratch
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Scaled components lie below this in magnitude; others are refused.
 LIMIT = 2.0**62
-#: Entries a part keeps at first and at least; the share of full searches from which b doubles; the share of parts whose
-#: look-ups the next b must hold.
-FIRST, FEWEST, MISSES, HELD = 16, 2, 0.125, 0.95
+#: Entries a part keeps at first, at least and at most (three bytes each); the share of full searches from which b doubles;
+#: the share of parts whose look-ups the next b must hold.  b is halved at most.
+FIRST, FEWEST, MOST, MISSES, HELD = 16, 2, 64, 0.125, 0.95
 #: A sum of squares below this is exact in doubles.
 EXACT = 1 << 53
 #: Sums travel as high * BASE + rest.
@@ -132,9 +132,14 @@ class PartState:
         self.own, self.near, self.low, self.outer = own, near, low, outer
 
 
-def _floats(x: np.ndarray) -> np.ndarray:
-    """Single precision, rounded down."""
-    return np.nextafter(x.astype(np.float32), np.float32(-np.inf))
+def _short(x: np.ndarray) -> np.ndarray:
+    """Bounds as the upper halves of single-precision numbers, rounded down; a negative bound says no more than zero."""
+    low = np.nextafter(np.maximum(x, 0).astype(np.float32), np.float32(0))
+    return (low.view(np.uint32) >> np.uint32(16)).astype(np.uint16)
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return (x.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.float64)
 
 
 def _batch_vectors(batch: pa.RecordBatch, width: int) -> np.ndarray:
@@ -161,7 +166,7 @@ def _states(batch: pa.RecordBatch, books: list[np.ndarray], sizes: list[int], ol
         return states
     joined = {c: b"".join(batch.column(c).to_pylist()) for c in ("code", "near", "low", "outer")}
     code, near = (np.frombuffer(joined[c], np.uint8).reshape(n, -1).astype(np.int64) for c in ("code", "near"))
-    low, outer = (np.frombuffer(joined[c], np.float32).reshape(n, -1).astype(np.float64) for c in ("low", "outer"))
+    low, outer = (_long(np.frombuffer(joined[c], np.uint16).reshape(n, -1)) for c in ("low", "outer"))
     at = 0
     for p, s in enumerate(states):
         span = slice(at, at := at + held[p])
@@ -200,7 +205,7 @@ def _round(books: list[np.ndarray], sizes: list[int], old: list[np.ndarray] | No
             state = {
                 "id": batch.column("id"), "label": batch.column("label"), "v": batch.column("v"),
                 "code": _rows(np.stack([s.own for s in states], 1).astype(np.uint8)), "near": _rows(np.concatenate([s.near for s in states], 1).astype(np.uint8)),
-                "low": _rows(_floats(np.concatenate([s.low for s in states], 1))), "outer": _rows(_floats(np.stack([s.outer for s in states], 1))),
+                "low": _rows(_short(np.concatenate([s.low for s in states], 1))), "outer": _rows(_short(np.stack([s.outer for s in states], 1))),
             }
             yield pa.RecordBatch.from_arrays([state[f.name] if f.name in state else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
         if schema is None:
@@ -232,10 +237,10 @@ def next_size(size: int, entries: int, used: list[int]) -> int:
     """b for the next round, from how many parts needed so many entries of their list (last: a full search)."""
     looked, full = np.array(used[:-1]), used[-1]
     if full > MISSES * (looked.sum() + full):
-        return min(2 * size, entries)
+        return min(2 * size, max(size, MOST), entries)
     if not looked.sum():
         return size
-    return min(size, max(FEWEST, int(np.searchsorted(np.cumsum(looked), HELD * looked.sum()))))
+    return min(size, max(FEWEST, size // 2, int(np.searchsorted(np.cumsum(looked), HELD * looked.sum()))))
 
 
 def starting_books(kept: DataFrame, width: int, parts: int, entries: int) -> list[np.ndarray]:

@@ -107,4 +107,10 @@ def test_bounds_save_work():
     assert (after.own == vector_codes.all_distances(v, moved).argmin(axis=1)).all()
     assert after.used[-1] == 0 and (after.used[:-1] * np.arange(65)).sum() < 0.1 * 64 * len(v)
     assert vector_codes.next_size(16, 64, after.used.tolist()) < 16
-    assert vector_codes.next_size(16, 64, [10, 0, 0, 5]) == 32
+    assert vector_codes.next_size(16, 64, [10, 0, 0, 5]) == 32 and vector_codes.next_size(64, 256, [10, 0, 0, 5]) == 64
+
+
+def test_bounds_are_kept_from_below():
+    x = np.array([0.0, -3.0, 1e-30, 0.1, 1.0, 511.9, 512.0, 1e19, np.inf])
+    short = vector_codes._long(vector_codes._short(x))
+    assert (short <= np.maximum(x, 0)).all() and (short[3:8] > 0.99 * x[3:8]).all()
