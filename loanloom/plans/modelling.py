@@ -47,10 +47,10 @@ def _(spark, sf):
 
 @query("category_bands", " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, CAST({c} AS varchar) AS category, CAST(count(*) AS bigint) AS n FROM train WHERE {c} IS NOT NULL GROUP BY 2
-        HAVING count(*) >= 0.01::double*(SELECT count(*) FROM train)""" for c in ("channel", "purpose", "state", "first_time_homebuyer")))
+        HAVING count(*) >= 0.01::double*(SELECT count(*) FROM train)""" for c in S.CATEGORICAL_FEATURES))
 def _(spark, sf):
     train = train_rows(spark, sf)
-    columns = ["channel", "purpose", "state", "first_time_homebuyer"]
+    columns = S.CATEGORICAL_FEATURES
     kept = binning.category_bands(train, columns)
     pairs = binning.long_values(train, columns, "string", [])
     keep = F.coalesce(*[F.when(F.col("feature") == c, F.col("x").isin(*kept[c])) for c in columns])
@@ -83,12 +83,12 @@ def _(spark, sf):
     return rounded(binning.information_value(binning.woe_table(train_rows(spark, sf), SPECS, "y"), min_iv=MIN_IV), "iv")
 
 
-@query("woe_transform", "SELECT loan_seq, " + ", ".join(f"round(w_{f}.woe,6) AS woe_{f}" for f in ("credit_score", "purpose", "channel")) + " FROM inputs i " + " ".join(
-    f"JOIN woe w_{f} ON w_{f}.feature='{f}' AND w_{f}.band={band_index_case('i.' + f, SPECS[f])}" for f in ("credit_score", "purpose", "channel")))
+@query("woe_transform", "SELECT loan_seq, " + ", ".join(f"round(w_{f}.woe,6) AS woe_{f}" for f in SPECS) + " FROM inputs i " + " ".join(
+    f"JOIN woe w_{f} ON w_{f}.feature='{f}' AND w_{f}.band={band_index_case('i.' + f, SPECS[f])}" for f in SPECS))
 def _(spark, sf):
     rows = binning.woe_table(train_rows(spark, sf), SPECS, "y").collect()
     woe = binning.woe_by_band(rows, SPECS)
-    return inputs(spark, sf).select("loan_seq", *[F.round(binning.woe_column(f, SPECS[f], woe[f]), 6).alias(f"woe_{f}") for f in ("credit_score", "purpose", "channel")])
+    return inputs(spark, sf).select("loan_seq", *[F.round(binning.woe_column(f, SPECS[f], woe[f]), 6).alias(f"woe_{f}") for f in SPECS])
 
 
 def card(spark, sf, rows=None, specs=None):
@@ -364,9 +364,10 @@ def _with_reasons(spark, sf):
 
 @query("reason_challenger_overlap")
 def _(spark, sf):
-    df = _with_reasons(spark, sf)
-    share, first = overlap(F.col("reasons"), F.col("ranked"), 3)
-    return df.agg(F.count(F.lit(1)).alias("loans"), F.round(F.avg(share), 6).alias("mean_overlap_top_k"), F.round(F.avg(first.cast("int")), 6).alias("top1_in_top_k"))
+    """Agreement of the first one and the first three reasons with the challenger's features."""
+    each = [F.struct(F.lit(k).alias("k"), *[e.alias(n) for n, e in zip(("share", "first"), overlap(F.col("reasons"), F.col("ranked"), k))]) for k in (1, 3)]
+    df = _with_reasons(spark, sf).select(F.explode(F.array(*each)).alias("o")).select("o.*")
+    return df.groupBy("k").agg(F.count(F.lit(1)).alias("loans"), F.round(F.avg("share"), 6).alias("mean_overlap_top_k"), F.round(F.avg(F.col("first").cast("int")), 6).alias("top1_in_top_k"))
 
 
 @query("key_overlap", """SELECT loan_seq, round(len(list_filter(a, lambda z: list_contains(b,z)))/len(a)::double,6) AS share FROM (
@@ -385,7 +386,7 @@ def _(spark, sf):
 
 
 _SG = " UNION ALL ".join(
-    f"""SELECT '{f}' AS feature, vintage_year, coalesce({f}::double, median({f}::double) OVER (PARTITION BY vintage_year)) AS x, y FROM inputs""" for f in ("ltv", "dti", "rate_spread"))
+    f"""SELECT '{f}' AS feature, vintage_year, coalesce({f}::double, median({f}::double) OVER (PARTITION BY vintage_year)) AS x, y FROM inputs""" for f in NUMERIC)
 
 
 @query("signed_gini_by_vintage", f"""SELECT feature, CAST(vintage_year AS integer) AS vintage, round(2*sum(bad*(bg+0.5::double*(n-bad)))/(max(tb)*max(tn-tb))-1,6) AS signed_gini FROM (
@@ -393,10 +394,10 @@ _SG = " UNION ALL ".join(
       sum(bad) OVER (PARTITION BY feature, vintage_year)::double AS tb FROM (SELECT feature, vintage_year, x, count(*) AS n, sum(y) AS bad FROM ({_SG}) GROUP BY 1,2,3)
     WINDOW w AS (PARTITION BY feature, vintage_year ORDER BY x)) GROUP BY 1,2 HAVING max(tb)>=30""")
 def _(spark, sf):
-    return rounded(stability.signed_gini_by_vintage(inputs(spark, sf), ["ltv", "dti", "rate_spread"]), "signed_gini")
+    return rounded(stability.signed_gini_by_vintage(inputs(spark, sf), NUMERIC), "signed_gini")
 
 
-LEVELS = ["channel", "purpose", "state", "super_conforming"]
+LEVELS = S.CATEGORICAL_FEATURES
 
 
 @query("level_shares", f"""WITH c AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, coalesce({c},'missing') AS level, vintage_year FROM features" for c in LEVELS)}),
