@@ -62,6 +62,7 @@ def count_failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     A null text is empty, a null part is the empty string.  A document fails E if a smaller key has the same text (by
     SHA-256); rows without a key neither fail E nor make others fail, and rows that share key and text don't either.
     Each row counts.  Labels are joined by key; of several for a key, quality 1 or toxic 1 in any of them counts.
+    Texts are taken whole, of any length; other columns don't matter; an empty table gives an empty table.
     """
     content = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(

@@ -234,7 +234,7 @@ def drop_common_lines(docs: DataFrame, key: str = "doc_id", text: str = "text",
     integer), all of them.  Each row is a document, also a repeated one; rows that share the largest key all keep it.  A
     null key is smaller than every other.  Null texts stay null and count as one empty line; a text may become empty but
     its row stays; texts are taken whole, of any length.  Columns already named ``n_lines`` or ``n_dropped`` are
-    replaced, other names don't matter.  Lines are told apart by 128 bits.
+    replaced, other names don't matter.  Lines are told apart by 128 bits.  An empty table gives an empty table.
     """
     r1, r2 = free_names(docs.columns, "_row1", "_row2")
     rows = docs.withColumns({r1: F.xxhash64(F.col(key), F.col(text)), r2: F.xxhash64(F.col(text), F.col(key))})
