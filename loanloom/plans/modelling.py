@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanloom import settings as S
 from loanloom.functions import hashing
 from loanloom.functions.stats import logit
-from loanloom.operators import binning, bootstrap, challengers, folds, metrics, neighbours, scorecard, scoring, stability
+from loanloom.operators import binning, bootstrap, challengers, folds, metrics, neighbours, nested, scorecard, scoring, stability
 from loanloom.plans import loans
 from loanloom.plans.oracle import ADOPTED, band_index_case, register, uniform32
 from loanloom.plans.preparation import rounded
@@ -315,23 +315,12 @@ def _(spark, sf):
 
 @query("stratified_kfold")
 def _(spark, sf):
-    """Out-of-fold predictions over 5 hash folds and two seeds, raw and Platt-calibrated."""
-    feats = {"numeric": ["credit_score", "dti", "ltv"], "categorical": []}
+    """Five stratified folds, three seeds and three variants, raw and calibrated by inner folds: mean and spread over seeds."""
     rows = train_rows(spark, sf)
-    out = None
-    for seed in ("42", "43"):
-        folded = rows.withColumn("fold", hashing.uniform32(F.col("loan_seq"), "fold-" + seed) % 5)
-        for k in range(5):
-            fit = folded.filter(F.col("fold") != k)
-            m = challengers.fit_logistic_baseline(fit, **feats)
-            platt = challengers.platt_calibrate(m.predict(fit, ["y"]), "p", "y")
-            part = m.predict(folded.filter(F.col("fold") == k), ["y"]).select(F.lit(seed).alias("seed"), "y", "p", platt.apply(F.col("p")).alias("q"))
-            out = part if out is None else out.unionByName(part)
-    long = F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col("p").alias("p")), F.struct(F.lit("calibrated").alias("kind"), F.col("q").alias("p"))))
-    flat = write_scratch(out.select("seed", "y", long.alias("e")).select("seed", "y", "e.*"), "folds")
-    per_seed = metrics.evaluate(flat, "y", "p", ["kind", "seed"], ["auc", "brier", "mean_predicted_pd"])
-    return rounded(per_seed.groupBy("kind").agg(F.avg("brier").alias("brier"), F.stddev("brier").alias("brier_sd"), F.avg("auc").alias("auc"),
-                                                F.avg("mean_predicted_pd").alias("mean_pd")), "brier", "brier_sd", "auc", "mean_pd")
+    p = nested.stratified_kfold(rows, "y", "loan_seq", challengers.prep_features(rows, "y", **FEATS))
+    per_seed = metrics.evaluate(write_scratch(p, "folds"), "y", "p", ["variant", "kind", "seed"], ["auc", "brier", "mean_predicted_pd"])
+    return rounded(per_seed.groupBy("variant", "kind").agg(F.avg("brier").alias("brier"), F.stddev("brier").alias("brier_sd"), F.avg("auc").alias("auc"),
+                                                           F.avg("mean_predicted_pd").alias("mean_pd")), "brier", "brier_sd", "auc", "mean_pd")
 
 
 # ---- explanation of challengers -----------------------------------------------------------------

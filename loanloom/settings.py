@@ -258,3 +258,4 @@ FORM_CODES = ("EMPTY", "SECTIONS", "TEXT_OUTSIDE_SECTIONS", "EMPTY_SECTION", "LE
 
 # fixed values: boosted trees
 TREES = {"limit": 600, "step": 0.05, "depth": 3, "least_rows": 5, "row_share": 0.8, "column_share": 0.8, "patience": 40, "held_share": 0.15, "seed": 42}
+FOLD_SEEDS = ("42", "43", "44")
