@@ -36,9 +36,9 @@ def poisson_steps(n: int) -> tuple[int, np.ndarray]:
     return first, np.cumsum(np.exp(logs))
 
 
-def uniforms(h: np.ndarray, first: int, last: int) -> np.ndarray:
-    """53 hashed bits in [0, 1) for each hash (rows) and each number from ``first`` to ``last`` - 1 (columns)."""
-    z = h.astype(np.uint64)[:, None] + _STEP * np.arange(first + 1, last + 1, dtype=np.uint64)
+def uniforms(h: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """53 hashed bits in [0, 1) of each hash and number."""
+    z = h.astype(np.uint64) + _STEP * (number + 1).astype(np.uint64)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
@@ -49,7 +49,7 @@ def poisson_weights(h: np.ndarray, n: np.ndarray, first: int, last: int) -> np.n
 
     They depend on the cell and the resample's number only, so any task gets the same ones.
     """
-    u = uniforms(h, first, last)
+    u = uniforms(h[:, None], np.arange(first, last))
     out = np.empty(u.shape, np.int64)
     for size in np.unique(n):
         rows = n == size

@@ -25,8 +25,8 @@ from loanloom.operators.neighbours import nearest_neighbours
 from loanloom.session import write_scratch
 
 VARIANTS = ("unweighted", "class_weights", "smote")
-#: Newton steps at most, the change that ends them, rows whose products are held at a time, rows of a rank slice, copies of a stored row.
-STEPS, TOLERANCE, HELD_ROWS, SLICE_ROWS, COPIES = 40, 1e-9, 4096, 50_000, 1024
+#: Newton steps at most, the gain in likelihood a step that ends them, rows whose products are held at a time, rows of a rank slice, copies of a stored row.
+STEPS, TOLERANCE, HELD_ROWS, SLICE_ROWS, COPIES = 40, 1e-12, 4096, 50_000, 1024
 
 
 def moved(place, fold, folds: int):
@@ -130,12 +130,11 @@ def made_up(h: np.ndarray, first: np.ndarray, copies: np.ndarray, x: np.ndarray,
 
     A copy depends on its row's hash and its own number only.
     """
-    out = []
-    for i, n in enumerate(copies):
-        u = uniforms(h[i:i + 1], 2 * first[i], 2 * (first[i] + n)).reshape(n, 2)
-        mate = mates[i][(u[:, 0] * len(mates[i])).astype(np.int64)]
-        out.append(x[i] + u[:, 1:] * (mate - x[i]))
-    return np.concatenate(out)
+    owner = np.repeat(np.arange(len(h)), copies)
+    number = 2 * (np.arange(len(owner)) - np.repeat(np.cumsum(copies) - copies, copies) + first[owner]).astype(np.int64)
+    count = np.array([len(m) for m in mates])
+    at = np.cumsum(count)[owner] - count[owner] + (uniforms(h[owner], number) * count[owner]).astype(np.int64)
+    return x[owner] + uniforms(h[owner], number + 1)[:, None] * (np.concatenate(mates)[at] - x[owner])
 
 
 # ---- all models at once -------------------------------------------------------------------------
@@ -231,10 +230,11 @@ def _newton(step_sums, models: int, width: int, ridge: np.ndarray, start: np.nda
         curve = np.zeros((models, width, width))
         curve[:, a, b] = curve[:, b, a] = totals[:, width:]
         curve += np.diag(ridge + 1e-12)
-        step = np.linalg.solve(curve, (totals[:, :width] - ridge * weights)[:, :, None])[:, :, 0]
+        slope = totals[:, :width] - ridge * weights
+        step = np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
         step *= np.minimum(1.0, 8 / np.maximum(np.abs(step).max(axis=1, keepdims=True), 1e-300))
         weights = weights + step
-        if np.abs(step).max() <= TOLERANCE:
+        if (slope * step).sum(axis=1).max() <= TOLERANCE:
             break
     return weights
 
@@ -254,16 +254,17 @@ def fit_sets(rows: DataFrame, layout: Layout, width: int, variants: Sequence[str
 def fit_calibrators(rows: DataFrame, layout: Layout, weights: np.ndarray, variants: Sequence[str]) -> np.ndarray:
     """(offset, slope) by (variant, set): a sigmoid over the log-odds that a set's model gives its inner held-out rows.
 
-    Targets are (bads + 1) / (bads + 2) and 1 / (goods + 2) of those rows, so every fit is finite.  Sets without an
-    inner fold have none and stay (0, 1).
+    Targets are (bads + 1) / (bads + 2) and 1 / (goods + 2) of those rows, so every fit is finite.  Fits start at the
+    constant rate.  Sets without an inner fold have none and stay (0, 0).
     """
     k, models = layout.folds, len(variants) * layout.sets
-    targets = np.zeros((layout.sets, 2))
+    targets, start = np.zeros((layout.sets, 2)), np.zeros((layout.sets, 2))
     for s in range(layout.sets):
         seed, outer, inner = layout.parts(s)
         if inner < k:
             goods, bads = (layout.size(layout.number(seed, outer, k), y) - layout.size(s, y) for y in (0, 1))
             targets[s] = 1 / (goods + 2), (bads + 1) / (bads + 2)
+            start[s, 0] = np.log((bads + 1) / (goods + 1))
 
     def run_with(current: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -286,7 +287,7 @@ def fit_calibrators(rows: DataFrame, layout: Layout, weights: np.ndarray, varian
     def sums(current: np.ndarray) -> DataFrame:
         return rows.select("seed", "place", "y", "x").mapInPandas(run_with(current), SUMS)
 
-    return _newton(sums, models, 2, np.zeros(2), np.tile([0.0, 1.0], (models, 1)))
+    return _newton(sums, models, 2, np.zeros(2), np.tile(start, (len(variants), 1)))
 
 
 def _predictions(layout: Layout, weights: np.ndarray, calibrators: np.ndarray, variants: Sequence[str], seeds: Sequence[str]):
