@@ -238,3 +238,49 @@ def smote_oversample(train: DataFrame, y: str, key: str, columns: Sequence[str],
     real = train.select(F.col(key).cast("string").alias(key), F.col(y).cast("int").alias(y), F.lit(False).alias("synthetic"),
                         *[F.col(c).cast("double").alias(c) for c in columns])
     return real.unionByName(new)
+
+
+# ---- ablation -----------------------------------------------------------------------------------
+ARMS = ("unweighted", "class_weights", "smote")
+
+
+def fit_arm(train: DataFrame, arm: str, trees: int, y: str = "y", key: str = "loan_seq", preparation: Preparation | None = None, **features) -> Fitted:
+    """Boosted trees of one number for every arm, so that only the treatment of the imbalance differs.
+
+    "class_weights" lets a bad count as goods / bads; "smote" balances the classes in the space of the prepared columns.
+    """
+    if arm not in ARMS:
+        raise ValueError(f"unknown arm {arm}")
+    preparation = preparation or prep_features(train, y, **features)
+    if arm == "unweighted":
+        return fit_trees(train, trees, y, preparation)
+    if arm == "class_weights":
+        return fit_trees(train, trees, y, preparation, F.when(F.col(y) == 1, class_weight(train, y)).otherwise(1.0))
+    prepared = write_scratch(train.select(key, y, *[e.cast("double").alias(n) for n, _f, e in preparation.columns]), "prepared")
+    balanced = write_scratch(smote_oversample(prepared, y, key, [n for n, _f, _e in preparation.columns]), "smote")
+    ready = Preparation([(n, f, F.col(n)) for n, f, _e in preparation.columns])
+    return Fitted(preparation, fit_trees(balanced, trees, y, ready).model)
+
+
+@dataclass
+class CalibratedArm:
+    arm: str
+    model: Fitted
+    platt: Platt
+    isotonic: Isotonic
+
+    def versions(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` with the raw, Platt and isotonic probability of every row."""
+        raw = self.model.predict(df, keep, "raw").withColumn("platt", self.platt.apply(F.col("raw")))
+        return self.isotonic.apply(raw, "raw", "isotonic")
+
+
+def imbalance_ablation(train: DataFrame, calibration: DataFrame, trees: int, y: str = "y", key: str = "loan_seq", **features) -> list[CalibratedArm]:
+    """Every arm fitted on the training rows, its calibrators on the calibration rows."""
+    preparation = prep_features(train, y, **features)
+    out = []
+    for arm in ARMS:
+        model = fit_arm(train, arm, trees, y, key, preparation)
+        p = write_scratch(model.predict(calibration, [y]), "arm")
+        out.append(CalibratedArm(arm, model, platt_calibrate(p, "p", y), isotonic_calibrate(p, "p", y)))
+    return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanloom import settings as S
-from loanloom.functions import hashing
 from loanloom.functions.stats import logit
 from loanloom.operators import binning, bootstrap, challengers, folds, metrics, neighbours, nested, scorecard, scoring, stability
 from loanloom.plans import loans
@@ -251,12 +253,6 @@ def _(spark, sf):
     return each.join(a, "key").join(b, "neighbour").groupBy("key").agg(F.max(F.round(gap, 4)).alias("fifth"), F.count(F.lit(1)).alias("n"))
 
 
-def calibrated(spark, sf, p_col, fitted_rows):
-    platt = challengers.platt_calibrate(fitted_rows, p_col, "y")
-    iso = challengers.isotonic_calibrate(fitted_rows, p_col, "y")
-    return platt, iso
-
-
 _LOG_ODDS = "ln(greatest(least(pd, 1 - 1e-6), 1e-6) / (1 - greatest(least(pd, 1 - 1e-6), 1e-6)))"
 
 
@@ -285,32 +281,31 @@ def _(spark, sf):
     return challengers.isotonic_calibrate(cal, "pd", "y").apply(cells, "pd", "q").withColumn("q", F.round("q", 9))
 
 
-def _versions(df, cal, p="p"):
-    platt, iso = challengers.platt_calibrate(cal, p, "y"), challengers.isotonic_calibrate(cal, p, "y")
-    return iso.apply(df.withColumn("raw", F.col(p)).withColumn("platt", platt.apply(F.col(p))), p, "isotonic")
+VERSIONS = ("raw", "platt", "isotonic")
 
 
 @query("imbalance_ablation")
 def _(spark, sf):
-    """Unweighted, class-weighted and SMOTE arms, raw and calibrated, on validation rows."""
-    feats = {"numeric": ["credit_score", "dti", "ltv", "orig_term"], "categorical": []}
-    train = train_rows(spark, sf)
+    """Boosted arms of as many trees as early stopping kept, raw and calibrated: measures on all validation rows (vintage NULL)
+    and levels by vintage."""
     rows = inputs(spark, sf)
-    cal, valid = load_split_guarded(rows, "calibration"), load_split_guarded(rows, "validation")
-    weight = challengers.class_weight(train, "y")
-    filled = train.select("loan_seq", "y", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats["numeric"]])
-    balanced = write_scratch(challengers.smote_oversample(filled, "y", "loan_seq", feats["numeric"]), "smote")
-    arms = {"unweighted": challengers.fit_logistic_baseline(train, **feats),
-            "class_weights": challengers.fit_logistic_baseline(train, weight=F.when(F.col("y") == 1, weight).otherwise(1.0), **feats),
-            "smote": challengers.fit_logistic_baseline(balanced, **feats)}
-    out = None
-    for arm, m in arms.items():
-        wide = _versions(m.predict(valid, ["loan_seq", "y"]), m.predict(cal, ["loan_seq", "y"]))
-        each = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(v).alias("p")) for v in ("raw", "platt", "isotonic")]))
-        long = wide.select(F.lit(arm).alias("arm"), "loan_seq", "y", each.alias("e")).select("arm", "e.version", "loan_seq", "y", "e.p")
-        out = long if out is None else out.unionByName(long)
-    table = metrics.evaluate(write_scratch(out, "ablation"), "y", "p", ["arm", "version"])
-    return rounded(table, "default_rate", "mean_predicted_pd", "auc", "gini", "ks", "pr_auc", "brier")
+    valid = load_split_guarded(rows, "validation")
+    fitted = challengers.imbalance_ablation(train_rows(spark, sf), load_split_guarded(rows, "calibration"), boosted(spark, sf).rounds, **FEATS)
+    keep = ["loan_seq", "vintage_year", "y"]
+    wide = write_scratch(functools.reduce(DataFrame.unionByName, [a.versions(valid, keep).withColumn("arm", F.lit(a.arm)) for a in fitted]), "ablation")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.col(v).alias("p")) for v in VERSIONS]))
+    long = wide.select("arm", "y", each.alias("e")).select("arm", "y", "e.*")
+    gaps, levels = [], []
+    for a in fitted:
+        own = wide.filter(F.col("arm") == a.arm)
+        gaps += [metrics.ece(own, "y", v, "loan_seq").select(F.lit(a.arm).alias("arm"), F.lit(v).alias("version"), "ece", F.lit(a.platt.slope).alias("platt_slope"),
+                                                             F.lit(a.platt.offset).alias("platt_offset")) for v in VERSIONS]
+        by_vintage = metrics.reliability_by_vintage(own, "y", VERSIONS)
+        levels.append(by_vintage.select(F.lit(a.arm).alias("arm"), "version", F.col("vintage_year").cast("int").alias("vintage"), F.col("n").alias("loans"),
+                                        F.col("defaults").cast("bigint").alias("defaults"), F.col("observed").alias("default_rate"), "mean_predicted_pd", "brier"))
+    whole = metrics.evaluate(long, "y", "p", ["arm", "version"]).join(functools.reduce(DataFrame.unionByName, gaps), ["arm", "version"])
+    table = whole.withColumn("vintage", F.lit(None).cast("int")).unionByName(functools.reduce(DataFrame.unionByName, levels), allowMissingColumns=True)
+    return rounded(table, "default_rate", "mean_predicted_pd", "auc", "gini", "ks", "pr_auc", "brier", "ece", "platt_slope", "platt_offset")
 
 
 @query("stratified_kfold")
