@@ -301,7 +301,7 @@ def _(spark, sf):
         gaps += [metrics.ece(own, "y", v, "loan_seq").select(F.lit(a.arm).alias("arm"), F.lit(v).alias("version"), "ece", F.lit(a.platt.slope).alias("platt_slope"),
                                                              F.lit(a.platt.offset).alias("platt_offset")) for v in VERSIONS]
         by_vintage = metrics.reliability_by_vintage(own, "y", VERSIONS)
-        levels.append(by_vintage.select(F.lit(a.arm).alias("arm"), "version", F.col("vintage_year").cast("int").alias("vintage"), F.col("n").alias("loans"),
+        levels.append(by_vintage.select(F.lit(a.arm).alias("arm"), "version", F.col("vintage_year").cast("int").alias("vintage"), "n",
                                         F.col("defaults").cast("bigint").alias("defaults"), F.col("observed").alias("default_rate"), "mean_predicted_pd", "brier"))
     whole = metrics.evaluate(long, "y", "p", ["arm", "version"]).join(functools.reduce(DataFrame.unionByName, gaps), ["arm", "version"])
     table = whole.withColumn("vintage", F.lit(None).cast("int")).unionByName(functools.reduce(DataFrame.unionByName, levels), allowMissingColumns=True)
