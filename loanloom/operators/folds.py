@@ -156,16 +156,18 @@ def _normal_equations(models: Sequence[Model], vintage: str, y: str):
     return run
 
 
-def fit_models(df: DataFrame, folds: Sequence[Fold], sets: Mapping[str, Sequence[str]], y: str, vintage: str, min_iv: float) -> list[Model]:
+def fit_models(df: DataFrame, folds: Sequence[Fold], sets: Mapping[str, Sequence[str]], y: str, vintage: str, min_iv: float,
+               allow_constant: bool = False) -> list[Model]:
     """L2 logistic regressions (C = 1 on a summed loss) of every set in every fold, one pass over the rows a Newton step.
 
-    A feature takes part if its information value in the fold reaches ``min_iv``.
+    A feature takes part if its information value in the fold reaches ``min_iv``.  A set none of whose features does is an
+    error, or with ``allow_constant`` fitted by its constant.
     """
     models = []
     for fold in folds:
         for name, features in sets.items():
             chosen = [f for f in features if fold.iv[f] >= min_iv]
-            if not chosen:
+            if not chosen and not allow_constant:
                 raise ValueError(f"no feature of {name} reaches an information value of {min_iv}")
             models.append(Model(name, fold, chosen, np.zeros(len(chosen) + 1)))
     open_models = models
@@ -212,7 +214,7 @@ SCORES = "candidate string, left_out string, vintage int, y bigint, p double"
 
 
 def leave_one_vintage_out(df: DataFrame, sets: Mapping[str, tuple[Sequence[str], Sequence[str]]], y: str = "y", vintage: str = "vintage_year",
-                          min_defaults: int = S.MIN_DEFAULTS_CI, min_iv: float = S.BINNING["min_iv"]) -> DataFrame:
+                          min_defaults: int = S.MIN_DEFAULTS_CI, min_iv: float = S.BINNING["min_iv"], allow_constant: bool = False) -> DataFrame:
     """(candidate, vintage) -> defaults, Gini and predicted/observed of the card refitted without that vintage.
 
     ``sets`` maps a name to (numeric, categorical) features.  Vintages with fewer than ``min_defaults`` bads are not
@@ -221,19 +223,19 @@ def leave_one_vintage_out(df: DataFrame, sets: Mapping[str, tuple[Sequence[str],
     rows, numeric, categorical = _narrow(df, sets, y, vintage)
     sizes = rows.groupBy(vintage).agg(F.sum(y).alias("bad")).filter(F.col("bad") >= min_defaults).collect()
     folds = fit_folds(rows, numeric, categorical, sorted(r[vintage] for r in sizes), y, vintage)
-    models = fit_models(rows, folds, {name: [*n, *c] for name, (n, c) in sets.items()}, y, vintage, min_iv)
+    models = fit_models(rows, folds, {name: [*n, *c] for name, (n, c) in sets.items()}, y, vintage, min_iv, allow_constant)
     held = rows.mapInPandas(_scores(models, vintage, y, True), SCORES)
     out = evaluate(held, "y", "p", ["candidate", "vintage"], ["defaults", "default_rate", "mean_predicted_pd", "gini"])
     return out.select("candidate", "vintage", "defaults", "gini", safe_ratio(F.col("mean_predicted_pd"), F.col("default_rate")).alias("pred_over_obs"))
 
 
 def refit_without_vintage(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], left_out: int, y: str = "y", vintage: str = "vintage_year",
-                          min_iv: float = S.BINNING["min_iv"]) -> DataFrame:
+                          min_iv: float = S.BINNING["min_iv"], allow_constant: bool = False) -> DataFrame:
     """Level and Gini by vintage of the card fitted on all vintages ("all") and of the one refitted, bands too, without one."""
     sets = {"card": (numeric, categorical)}
     rows, numeric, categorical = _narrow(df, sets, y, vintage)
     folds = fit_folds(rows, numeric, categorical, [None, left_out], y, vintage)
-    models = fit_models(rows, folds, {"card": [*numeric, *categorical]}, y, vintage, min_iv)
+    models = fit_models(rows, folds, {"card": [*numeric, *categorical]}, y, vintage, min_iv, allow_constant)
     scored = write_scratch(rows.mapInPandas(_scores(models, vintage, y, False), SCORES), "refit")
     by = ["left_out", "vintage"]
     return level_table(scored, "y", "p", by).join(evaluate(scored, "y", "p", by, ["gini"]), by)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loanloom.operators import binning, folds, metrics, scorecard
+from loanloom.operators import binning, folds, metrics, scorecard, scoring
 
 SETS = {"both": (["a", "b"], ["c"]), "one": (["b"], [])}
 
@@ -61,3 +61,26 @@ def test_refit_without_one_vintage(rows):
 def test_no_feature_is_an_error(rows):
     with pytest.raises(ValueError, match="no feature of both"):
         folds.leave_one_vintage_out(rows, SETS, min_iv=99.0)
+
+
+def test_sets_without_a_feature_are_fitted_by_their_constant(rows):
+    got = folds.leave_one_vintage_out(rows, SETS, min_iv=99.0, allow_constant=True).collect()
+    counts = {r["vintage_year"]: (r["n"], r["bad"]) for r in rows.groupBy("vintage_year").agg(F.count("y").alias("n"), F.sum("y").alias("bad")).collect()}
+    n, bad = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    assert len(got) == 4
+    for r in got:
+        own_n, own_bad = counts[r["vintage"]]
+        assert r["gini"] == 0 and r["pred_over_obs"] == pytest.approx((bad - own_bad) / (n - own_n) / (own_bad / own_n), abs=1e-6)
+    assert len(folds.refit_without_vintage(rows, ["a", "b"], ["c"], 2001, min_iv=99.0, allow_constant=True).collect()) == 6
+
+
+def test_card_of_the_constant_alone(rows):
+    train = rows.withColumnRenamed("a", "ltv")
+    with pytest.raises(ValueError, match="no feature reaches"):
+        scorecard.fit_scorecard(train, "y", ["ltv"], [], min_iv=99.0)
+    card = scorecard.fit_scorecard(train, "y", ["ltv"], [], min_iv=99.0, allow_constant=True)
+    record = card.export("fitted")
+    assert card.points_rows() == [] and card.sign_violations() == [] and scoring.model_problems(record) == []
+    both = scoring.score_batch(record, card.score_points(card.predict_pd(train, "p"), "points")).agg(
+        F.min("p"), F.max("p"), F.min("pd"), F.max("pd"), F.max(F.abs(F.col("score") - F.col("points"))), F.avg("y")).first()
+    assert both[:4] == pytest.approx([both[5]] * 4, abs=1e-9) and both[4] < 1e-9
