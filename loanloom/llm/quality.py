@@ -4,11 +4,15 @@ Every pair of a good and a bad document says that the good one should score high
 function of the difference of their scores.  Scores are linear in the features, so the fit is a logistic regression on
 feature differences without intercept.  The threshold is the score quantile at the share of bad documents, placed at
 ``CUT`` of the final score.
+
+All labelled rows outside the held-out fifth teach.  They are dealt into groups of bounded size, within which every bad row
+draws its good partners; one pass over the groups adds up a Newton step, and the quantile is selected exactly.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -18,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from loanloom.operators.selection import group_quantiles
 from loanloom.session import write_scratch
 
-#: Labelled documents that the fit may see at most, taken by hash; and good partners of each bad one.
-SAMPLE, PARTNERS = 20_000, 16
+#: Good partners of each bad document; labelled rows of a group on average; good ones that a group has at least on average.
+PARTNERS, GROUP, LEAST_GOOD = 16, 8192, 64
 #: The score from which on a document counts as good.
 CUT = 0.3
 RIDGE = 1e-2
@@ -60,10 +65,12 @@ class Model:
     weights: list[float]
     threshold: float
 
+    def linear(self, found: Column) -> Column:
+        return F.aggregate(F.zip_with(found, F.array(*map(F.lit, self.weights)), lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+
     def score(self, found: Column) -> Column:
         """The final score of a feature column: above or at ``CUT`` exactly if the linear score reaches the threshold."""
-        linear = F.aggregate(F.zip_with(found, F.array(*map(F.lit, self.weights)), lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
-        gap = linear - F.lit(self.threshold)
+        gap = self.linear(found) - F.lit(self.threshold)
         return F.when(gap >= 0, F.greatest(_logistic(gap), F.lit(CUT))).otherwise(F.least(_logistic(gap), F.lit(math.nextafter(CUT, 0))))
 
 
@@ -76,40 +83,101 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(x: np.ndarray, good: np.ndarray, seed: int = 0) -> Model:
-    """The model of some feature rows and their labels; without both labels, one that lets everything pass."""
-    best, worst = x[good], x[~good]
-    if not len(best) or not len(worst):
-        return Model([0.0] * x.shape[1], -1.0)
-    spread = x.std(axis=0)
-    spread[spread < 1e-9] = 1.0
-    rng = np.random.default_rng(seed)
+def _differences(best: np.ndarray, worst: np.ndarray, spread: np.ndarray, seed: int) -> np.ndarray:
+    """Scaled features of random good partners less those of every bad row."""
     n = min(PARTNERS, len(best))
-    differences = (best[rng.integers(0, len(best), (len(worst), n))] - worst[:, None]).reshape(-1, x.shape[1]) / spread
-    w = np.zeros(x.shape[1])
-    for _ in range(30):  # Newton's method
-        p = 1 / (1 + np.exp(-np.clip(differences @ w, -30, 30)))
-        step = np.linalg.solve(
-            (differences * (p * (1 - p))[:, None]).T @ differences / len(p) + RIDGE * np.eye(len(w)),
-            differences.T @ (1 - p) / len(p) - RIDGE * w,
-        )
-        w += step
+    return (best[np.random.default_rng(seed).integers(0, len(best), (len(worst), n))] - worst[:, None]).reshape(-1, best.shape[1]) / spread
+
+
+def _sums(differences: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Pairs, gradient and curvature of the pairs' likelihood, as one flat row."""
+    p = 1 / (1 + np.exp(-np.clip(differences @ w, -30, 30)))
+    curve = (differences * (p * (1 - p))[:, None]).T @ differences
+    return np.concatenate([[len(p)], differences.T @ (1 - p), curve.ravel()])
+
+
+def _newton(sums: Callable[[np.ndarray], np.ndarray], width: int) -> np.ndarray:
+    w = np.zeros(width)
+    for _ in range(30):
+        total = sums(w)
+        pairs, slope, curve = total[0], total[1 : width + 1], total[width + 1 :].reshape(width, width)
+        step = np.linalg.solve(curve / pairs + RIDGE * np.eye(width), slope / pairs - RIDGE * w)
+        w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    weights = w / spread
-    scores = x @ weights
-    return Model(weights.tolist(), float(np.quantile(scores, (~good).mean(), method="midpoint")))
+    return w
+
+
+def _safe(spread: np.ndarray) -> np.ndarray:
+    return np.where(spread < 1e-9, 1.0, spread)
+
+
+def fit(x: np.ndarray, good: np.ndarray, seed: int = 0) -> Model:
+    """The model of some feature rows and their labels; without both labels, one that lets everything pass."""
+    if good.all() or not good.any():
+        return Model([0.0] * x.shape[1], -1.0)
+    spread = _safe(x.std(axis=0))
+    differences = _differences(x[good], x[~good], spread, seed)
+    weights = _newton(lambda w: _sums(differences, w), x.shape[1]) / spread
+    return Model(weights.tolist(), float(np.quantile(x @ weights, (~good).mean(), method="midpoint")))
+
+
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """A group as one row of two matrices, in an order that doesn't depend on how its rows arrived."""
+    part = part.sort_values(["_key", "at"])
+    each = [np.array(part["features"][part["good"] == g].tolist(), dtype=np.float64).tobytes() for g in (True, False)]
+    return pd.DataFrame({"group": part["group"].iloc[:1].to_numpy(), "best": [each[0]], "worst": [each[1]]})
+
+
+def grouped(rows: DataFrame, n: int, good: int) -> DataFrame:
+    """(group, best, worst): all labelled rows in groups by hash.  Where good rows are too few, each serves several groups."""
+    groups = max(1, n // GROUP)
+    times = min(groups, -(-LEAST_GOOD * groups // good))
+    copy = F.explode(F.when(F.col("good"), F.sequence(F.lit(0), F.lit(times - 1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    dealt = rows.select("_key", "features", "good", F.xxhash64("_key", "features").alias("at"), copy)
+    dealt = dealt.withColumn("group", F.pmod(F.col("at") + F.col("copy"), F.lit(groups)).cast("long"))
+    return dealt.groupBy("group").applyInPandas(_packed, "group long, best binary, worst binary")
+
+
+def _group_sums(w: np.ndarray, spread: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 + len(w) + len(w) ** 2)
+        for batch in batches:
+            for group, *pair in zip(batch["group"], batch["best"], batch["worst"]):
+                best, worst = (np.frombuffer(v).reshape(-1, len(w)) for v in pair)
+                if len(best) and len(worst):
+                    total += _sums(_differences(best, worst, spread, int(group)), w)
+        yield pd.DataFrame({"at": np.arange(len(total)), "value": total})
+
+    return run
 
 
 def learn(found: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
-    """Fit on at most ``SAMPLE`` labelled documents (first by hash of the key) that aren't held out.
+    """Fit on all labelled documents that aren't held out.
 
     ``found`` has the key and ``features``; ``labels`` the key and ``quality`` (1 good, 0 bad; others don't count).
     """
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out(key)).select(F.col(key).alias("_key"), (F.col("quality") == 1).alias("good"))
-    chosen = known.orderBy(F.xxhash64("_key"), "_key", "good").limit(SAMPLE)
-    rows = found.select(F.col(key).alias("_key"), "features").join(chosen, "_key").orderBy(F.xxhash64("_key"), "good").limit(2 * SAMPLE).collect()
-    return fit(np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["good"] for r in rows], bool))
+    rows = write_scratch(found.select(F.col(key).alias("_key"), "features").join(known, "_key"), "labelled")
+    width = len(FEATURES)
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("good").alias("good"), *[F.stddev_pop(F.col("features")[i]).alias(f"s{i}") for i in range(width)]).first()
+    n, good = one["n"], one["good"]
+    if not good or good == n:
+        return Model([0.0] * width, -1.0)
+    spread = _safe(np.array([one[f"s{i}"] for i in range(width)]))
+    packed = write_scratch(grouped(rows, n, good), "pairs")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        each = packed.mapInPandas(_group_sums(w, spread), "at long, value double").groupBy("at").agg(F.sum("value").alias("value"))
+        return np.array([r["value"] for r in sorted(each.collect(), key=lambda r: r["at"])])
+
+    weights = (_newton(sums, width) / spread).tolist()
+    # the middle of the two scores around the rank
+    position = (n - good) / n * (n - 1)
+    ends = [math.floor(position) / max(1, n - 1), math.ceil(position) / max(1, n - 1)]
+    scores = rows.select(Model(weights, 0.0).linear(F.col("features")).alias("x"))
+    low, high = group_quantiles(scores, "x", [], ends).first()["quantiles"]
+    return Model(weights, (low + high) / 2)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

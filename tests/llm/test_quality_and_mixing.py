@@ -62,6 +62,31 @@ def test_fit_is_a_ranking_model():
     assert abs((x @ w < model.threshold).mean() - (~good).mean()) < 0.01
 
 
+def test_all_labelled_rows_teach(spark, monkeypatch):
+    """Many groups, few good rows: sums over the groups and the threshold are those of all rows."""
+    monkeypatch.setattr(quality, "GROUP", 50)
+    rng = np.random.default_rng(5)
+    n = 24_000
+    x = rng.standard_normal((n, len(quality.FEATURES))).round(3)
+    good = rng.random(n) < 1 / (1 + np.exp(3 - 2 * x[:, 0]))
+    found = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "doc_id long, features array<double>").repartition(4)
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    taught = np.array([crc32(str(i).encode()) % 5 != 0 for i in range(n)])
+    rows = found.join(labels, "doc_id").filter(~quality.held_out()).select(quality.F.col("doc_id").alias("_key"), "features", (quality.F.col("quality") == 1).alias("good"))
+    groups = quality.grouped(rows, int(taught.sum()), int((taught & good).sum())).collect()
+    width = 8 * len(quality.FEATURES)
+    assert len(groups) == taught.sum() // 50
+    assert sum(len(g.worst) for g in groups) == width * (taught & ~good).sum() and sum(len(g.best) for g in groups) >= width * (taught & good).sum()
+    assert all(len(g.best) for g in groups)
+    model = quality.learn(found, labels)
+    whole = quality.fit(x[taught], good[taught])
+    assert np.abs(np.array(model.weights) - whole.weights).max() < 0.05
+    w = np.zeros(x.shape[1])
+    for v, weight in enumerate(model.weights):
+        w[v] = weight
+    assert model.threshold == pytest.approx(np.quantile(x[taught] @ w, (~good[taught]).mean(), method="midpoint"), abs=1e-9)
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: i % 3 + 1 for i, s in enumerate(order)}
