@@ -92,3 +92,23 @@ def test_config_rules():
     assert cfg["policy"]["approve_below"] == S.POLICY["approve_below"] and cfg["scaling"] == S.SCALING
     with pytest.raises(config.ConfigError):
         config.validate({**cfg, "policy": {**cfg["policy"], "approve_below": 0.9}})
+
+
+def test_searches_equal_their_plain_definitions(spark):
+    """Words found by their letters first, counts and blanks without taking texts apart: same answers, fewer steps."""
+    parts = ("", "x", "é", " ", "\n", "_", "-", "3", "%", " ", "ten ", "attend", "(ten)", "TEN", "per cent", "approve", "approved", "approvals", "refer", "referral", "refers to", "reference", "4.50", "−3,5")
+    df = spark.createDataFrame([(a + b + c,) for a in parts for b in parts for c in parts[:8]], "t string")
+    t, low, words, stems = F.col("t"), F.lower("t"), ["ten", "per cent"], [r"approv\w*", "refer(?:s|red|ral|ring)?", "a|b"]
+    allowed = F.array(*[F.lit(v).cast(memo.FACT_TYPE) for v in ("4.5", "-3.46", "3", None)])
+    every = F.filter(memo.parsed_tokens(memo.number_tokens(t)), lambda x: ~memo.is_fact(x, allowed))
+    plain = {
+        "squash": (memo.squash(t), F.trim(F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), " %", "%"))),
+        "blank": (memo.blank(t), F.regexp_replace(t, r"(?U)\s", "") == ""),
+        "count": (memo.count_words(t), F.size(F.regexp_extract_all(t, F.lit(f"({memo.WORD}+)"), 1))),
+        "between": (memo.words_between(t, 2, 3), F.size(F.regexp_extract_all(t, F.lit(f"({memo.WORD}+)"), 1)).between(2, 3)),
+        "any": (memo.has_any_word(low, words), memo.has_word(low, "|".join(words))),
+        "stem": (memo.has_stem(low, "decline", stems), memo.has_word(low, "|".join(["decline", *stems]).replace(r"\w", memo.WORD))),
+        "numbers": (memo.memo_number_audit(t, allowed), F.array_sort(F.transform(every, lambda x: x["token"]))),
+    }
+    differing = df.agg(*[F.count_if(~a.eqNullSafe(b)).alias(k) for k, (a, b) in plain.items()]).first().asDict()
+    assert differing == dict.fromkeys(plain, 0)
