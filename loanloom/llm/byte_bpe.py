@@ -30,6 +30,8 @@ from loanloom.llm.common import chunks
 TRANSITIONS, PAIRS, WORDS = 400_000, 200_000, 120_000
 #: Longer words are not remembered.
 LONGEST = 64
+#: Tokens that the decoder passes at once if each is of whole characters.
+RUN = 128
 #: Characters of text encoded before their ids are handed on.
 CHUNK = 1 << 20
 
@@ -204,16 +206,25 @@ class Decoder:
     """Token ids to text, chunk by chunk.
 
     The machine moves a token at a time: what a token's bytes do to a state is worked out once and looked up after that.
+    Tokens of whole characters leave it where it starts, so a run of them is passed in one step.
     """
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
         self._moves: dict[tuple[tuple[int, int, int], int], tuple[tuple[int, int, int], int]] = {}
+        self.partial = frozenset(token for token, part in bytes_of.items() if not (part.isascii() or self._whole(token)))
         self.start()
 
     def start(self) -> None:
         self.state, self.waiting = (0, 0, 0), b""
 
+    def _whole(self, token: int) -> bool:
+        """Whether the machine, from its start, is there again after the token."""
+        try:
+            return not self._move((0, 0, 0), token)[0][0]
+        except ValueError:
+            return False
+
     def _move(self, state: tuple[int, int, int], token: int) -> tuple[tuple[int, int, int], int]:
         """The state after a token, and how many of its last bytes belong to a character not yet complete (-1: all)."""
         complete = -1
@@ -223,17 +234,22 @@ class Decoder:
                 complete = i
         return state, -1 if complete < 0 else len(token_bytes) - 1 - complete
 
-    def feed(self, ids: Iterable[int]) -> str:
+    def feed(self, ids: list[int]) -> str:
         """The characters that these tokens complete."""
         state, parts, held = self.state, [self.waiting], len(self.waiting)
-        for token in ids:
-            move = self._moves.get((state, token))
-            if move is None:
-                move = self._moves[state, token] = self._move(state, token)
-            state, tail = move
-            part = self.bytes_of[token]
-            parts.append(part)
-            held = held + len(part) if tail < 0 else tail
+        for at in range(0, len(ids), RUN):
+            run = ids[at : at + RUN]
+            if not state[0] and self.partial.isdisjoint(run):
+                parts += map(self.bytes_of.__getitem__, run)
+                continue
+            for token in run:
+                move = self._moves.get((state, token))
+                if move is None:
+                    move = self._moves[state, token] = self._move(state, token)
+                state, tail = move
+                part = self.bytes_of[token]
+                parts.append(part)
+                held = held + len(part) if tail < 0 else tail
         whole = b"".join(parts)
         self.state, self.waiting = state, whole[len(whole) - held :]
         return whole[: len(whole) - held].decode()

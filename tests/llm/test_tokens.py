@@ -85,6 +85,21 @@ def test_decoder_refuses_broken_text():
             decoder.feed(ids)
 
 
+def test_the_machine_steps_only_where_characters_are_split(monkeypatch):
+    """Runs of whole characters are passed at once; split ones, also at the edges of runs, go through the machine."""
+    steps, move = [], byte_bpe.Decoder._move
+    tokens = {0: b"a", 1: "é".encode(), 2: b"\xc3", 3: b"\xa9", 4: b"\xa9b\xc3", 5: b""}
+    decoder = byte_bpe.Decoder(tokens)
+    assert decoder.partial == {2, 3, 4}
+    monkeypatch.setattr(byte_bpe.Decoder, "_move", lambda self, state, token: steps.append(token) or move(self, state, token))
+    assert decoder.feed([0, 1] * 500) == "aé" * 500 and not steps
+    for before in (0, 126, 127, 128, 129):
+        ids = [0] * before + [2, 4, 3] + [1] * 200 + [2]
+        assert decoder.feed(ids) == "a" * before + "ébé" + "é" * 200
+        assert decoder.waiting == b"\xc3" and decoder.feed([3, 0]) == "éa"
+        decoder.end()
+
+
 def test_empty_table(spark):
     none = documents(spark).filter("false")
     assert token_counts.count_tokens(none, MODEL).count() == byte_bpe.round_trip(none, RANKS, public.PATTERN).count() == 0
