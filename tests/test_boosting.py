@@ -33,3 +33,17 @@ def test_the_limit_holds_without_a_best_round_in_sight(spark):
     m = challengers.fit_boosted_trees(loans(spark, 500), trees=4, step=0.01, patience=6, numeric=["a", "b"], categorical=[])
     assert len(m.losses) == 4 and m.model.getNumTrees == m.rounds
     assert (S.TREES["limit"], S.TREES["step"], S.TREES["patience"]) == (600, 0.05, 40)
+
+
+def test_no_tree_is_grown_twice_once_the_best_round_is_known(spark, monkeypatch):
+    grown = []
+    classifier = challengers.boosted_classifier
+    monkeypatch.setattr(challengers, "boosted_classifier", lambda trees, *more: grown.append(trees) or classifier(trees, *more))
+    df = loans(spark)
+    m = challengers.fit_boosted_trees(df, trees=20, step=0.3, patience=6, numeric=["a", "b"], categorical=[])
+    assert grown == [20] and m.model.getNumTrees == m.rounds < 20  # cut, not fitted again
+    inner, _held = challengers.stratified_split(df, "y", "loan_seq", S.TREES["held_share"], "inner")
+    again = challengers.fit_trees(inner, m.rounds, preparation=m.preparation)
+    assert again.model.getNumTrees == m.rounds and m.model.numClasses == 2
+    ps = m.predict(df, ["loan_seq"]).agg({"p": "min", "*": "count"}).first()
+    assert 0 < ps["min(p)"] < 0.5 and ps["count(1)"] == df.count()
