@@ -1,5 +1,7 @@
 """Arms of the imbalance ablation differ in the treatment of the imbalance only."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -37,3 +39,10 @@ def test_levels_before_and_after_calibration(rows):
 def test_unknown_arm(rows):
     with pytest.raises(ValueError, match="unknown arm"):
         challengers.fit_arm(rows, "other", 3, numeric=["a"], categorical=[])
+
+
+def test_arms_are_fitted_at_the_same_time(rows, monkeypatch):
+    fit, together = challengers.fit_arm, threading.Barrier(len(challengers.ARMS), timeout=60)
+    monkeypatch.setattr(challengers, "fit_arm", lambda *args: together.wait() >= 0 and fit(*args))
+    arms = challengers.imbalance_ablation(rows, rows, 2, numeric=["a", "b"], categorical=["c"])
+    assert [a.arm for a in arms] == list(challengers.ARMS)
