@@ -27,6 +27,8 @@ from loanloom.session import write_scratch
 VARIANTS = ("unweighted", "class_weights", "smote")
 #: Newton steps at most, the gain in likelihood a step that ends them, rows whose products are held at a time, rows of a rank slice, copies of a stored row.
 STEPS, TOLERANCE, HELD_ROWS, SLICE_ROWS, COPIES = 40, 1e-12, 4096, 50_000, 1024
+#: How many times the neighbours needed are looked for, given the share of rows that train.
+SPARE = 4
 
 
 def moved(place, fold, folds: int):
@@ -95,31 +97,53 @@ def class_places(df: DataFrame, y: str, key: str, seeds: Sequence[str]) -> DataF
 def smote_bases(rows: DataFrame, layout: Layout, k: int) -> DataFrame:
     """(set, h, first, copies, x, mates): minority rows of every training set with their nearest minority rows in the same set.
 
-    The made-up rows themselves are never stored: ``made_up`` draws the same ones in every pass.
+    Minority rows are searched once for all sets, for more neighbours than needed: a row's nearest ones in a set are the
+    first of them that train there.  Rows left with too few are searched again, in their sets only.  The made-up rows
+    themselves are never stored: ``made_up`` draws the same ones in every pass.
     """
     f = layout.folds
+    bad = write_scratch(rows.filter("y = 1").select("seed", F.col("key").cast("string").alias("key"), "place", "x"), "minority")
+    near = nearest_neighbours(bad.filter("seed = 0"), "key", "x", int(np.ceil(SPARE * k * (f / (f - 1)) ** 2)))
+    links = near.select("key", F.posexplode("neighbours").alias("at", "mate"))
+    found = links.join(bad.select("seed", F.col("key").alias("mate"), F.col("place").alias("mate_place"), F.col("x").alias("mate_x")), "mate")
+    lists = found.groupBy("seed", "key").agg(F.sort_array(F.collect_list(F.struct("at", "mate_place", "mate_x"))).alias("near"))
     outer = F.filter(F.sequence(F.lit(0), F.lit(f - 1)), lambda o: o != F.col("place") % f)
-    own = rows.filter("y = 1").select("seed", "key", "place", "x", F.explode(outer).alias("outer"))
+    own = bad.join(lists, ["seed", "key"], "left").withColumn("outer", F.explode(outer))
     after = moved_column(F.col("place"), F.col("outer"), f)
     inner = F.filter(F.sequence(F.lit(0), F.lit(f)), lambda i: i != F.col("after") % f)
     own = own.withColumn("after", after).withColumn("inner", F.explode(inner))
     last = F.when(F.col("inner") == f, F.col("after")).otherwise(moved_column(F.col("after"), F.col("inner"), f))
     number = layout.number(F.col("seed"), F.col("outer"), F.col("inner")).cast("int")
-    own = write_scratch(own.select(number.alias("set"), F.concat_ws("|", number.cast("string"), F.col("key").cast("string")).alias("id"), last.alias("place"), "x"), "minority")
-    near = nearest_neighbours(own, "id", "x", k, group="set")
+    trains = F.filter("near", lambda m: (m["mate_place"] % f != F.col("outer")) & (moved_column(m["mate_place"], F.col("outer"), f) % f != F.col("inner")))
+    own = own.select(number.alias("set"), F.concat_ws("|", number.cast("string"), "key").alias("id"), last.alias("place"), "x",
+                     F.transform(F.slice(trains, 1, k), lambda m: m["mate_x"]).alias("mates"))
+    own = write_scratch(own, "mates")
     need = [max(0, layout.size(s, 0) - layout.size(s, 1)) for s in range(layout.sets)]
     bads = [max(1, layout.size(s, 1)) for s in range(layout.sets)]
     whole, more = (F.element_at(F.array(*[F.lit(v) for v in values]), F.col("set") + 1)
                    for values in ([n // b for n, b in zip(need, bads)], [n % b for n, b in zip(need, bads)]))
     copies = whole + (F.col("place") < more).cast("int")
-    links = near.select(F.col("key").alias("id"), F.posexplode("neighbours").alias("at", "mate"))
-    found = links.join(own.select(F.col("id").alias("mate"), F.col("x").alias("mate_x")), "mate")
-    mates = found.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mate_x"))), lambda m: m["mate_x"]).alias("mates"))
-    based = own.join(mates, "id").select("set", F.xxhash64("id").alias("h"), copies.cast("int").alias("all"), "x", "mates").filter("all > 0")
+    full = F.least(F.lit(k), F.element_at(F.array(*[F.lit(layout.size(s, 1)) for s in range(layout.sets)]), F.col("set") + 1) - 1)
+    enough = F.coalesce(F.size("mates") >= full, F.lit(False))
+    short = own.filter(~enough)
+    based = own.filter(enough)
+    if not short.isEmpty():
+        based = based.unionByName(_searched_in_sets(own, short, k))
+    based = based.filter(F.size("mates") > 0).select("set", F.xxhash64("id").alias("h"), copies.cast("int").alias("all"), "x", "mates").filter("all > 0")
     each = F.explode(F.sequence(F.lit(0), F.col("all") - 1, F.lit(COPIES))).alias("first")
     return based.select("set", "h", each, "all", "x", "mates").withColumn("copies", F.least(F.col("all") - F.col("first"), F.lit(COPIES))).drop("all")
 
 
+def _searched_in_sets(own: DataFrame, short: DataFrame, k: int) -> DataFrame:
+    """Rows ``short`` with their nearest rows of the same set, by a search of these sets alone."""
+    members = own.join(short.select("set").distinct(), "set", "left_semi")
+    near = nearest_neighbours(members, "id", "x", k, group="set").join(short.select(F.col("id").alias("key")), "key", "left_semi")
+    links = near.select(F.col("key").alias("id"), F.posexplode("neighbours").alias("at", "mate"))
+    found = links.join(members.select(F.col("id").alias("mate"), F.col("x").alias("mate_x")), "mate")
+    mates = found.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mate_x"))), lambda m: m["mate_x"]).alias("mates"))
+    return short.drop("mates").join(mates, "id")
+
+
 def moved_column(place, fold, folds: int):
     """``moved`` as a column."""
     return F.floor(place / folds) * (folds - 1) + place % folds - (place % folds > fold).cast("int")

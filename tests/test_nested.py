@@ -159,3 +159,20 @@ def test_stated_cases(spark, rows, preparation):
     unknown = rows.limit(60).withColumn("y", F.lit(None).cast("int"))
     more = nested.stratified_kfold(rows.unionByName(unknown), "y", "loan_seq", preparation, FOLDS, ("a",), ("unweighted",))
     assert more.count() == 400 * 2
+
+
+def _nearest_sets(bases):
+    """(set, h, first) -> mates"""
+    return {(r["set"], r["h"], r["first"]): [tuple(m) for m in r["mates"]] for r in bases.collect()}
+
+
+def test_neighbours_are_searched_once_for_all_sets(placed, monkeypatch):
+    layout = nested.Layout(len(SEEDS), FOLDS, tuple(placed.filter("seed = 0").filter(F.col("y") == y).count() for y in (0, 1)))
+    searched, search = [], nested.nearest_neighbours
+    monkeypatch.setattr(nested, "nearest_neighbours", lambda df, *args, **more: searched.append(df.count()) or search(df, *args, **more))
+    once = _nearest_sets(nested.smote_bases(placed, layout, 4))
+    assert searched == [layout.totals[1]]
+    # rows that one search leaves with too few are searched in their sets
+    monkeypatch.setattr(nested, "SPARE", 0.25)
+    again = _nearest_sets(nested.smote_bases(placed, layout, 4))
+    assert len(searched) == 3 and again == once and all(len(m) == 4 for m in once.values())
