@@ -51,9 +51,11 @@ def scan_zip_members(spark: SparkSession, pattern: str, members: dict[str, str])
     archives = spark.read.format("binaryFile").load(pattern).select(F.col("path").alias("archive"))
     wanted = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(m).alias("member")) for k, m in members.items()]))
     stem = F.regexp_extract("archive", r"([^/]+)\.zip$", 1)
+    # a given number of ranges, as tasks so small would otherwise be merged into one
+    tasks = max(1, archives.count() * len(members))
     work = (archives.select("archive", wanted.alias("w"))
             .select("archive", "w.kind", F.replace("w.member", F.lit("{stem}"), stem).alias("member"))
-            .repartition("archive", "member"))
+            .repartitionByRange(tasks, "archive", "member"))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -35,6 +35,16 @@ def test_zip_members_are_streamed_and_missing_ones_refused(spark, tmp_path):
         readers.scan_zip_members(spark, str(tmp_path / "*.zip"), {"x": "stray.txt"}).count()
 
 
+def test_every_zip_member_is_a_task(spark, tmp_path):
+    for name in ("one", "two", "three"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            for kind in ("orig", "perf"):
+                z.writestr(f"{name}_{kind}.txt", "a|1\nb|2\n")
+    lines = readers.scan_zip_members(spark, str(tmp_path / "*.zip"), {"orig": "{stem}_orig.txt", "perf": "{stem}_perf.txt"})
+    tasks = lines.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == 12 and len(tasks) >= 5  # small tasks are not merged into one
+
+
 def test_malformed_lines_stop_the_job(spark):
     df = spark.createDataFrame([("a|b|c",)], "line string")
     with pytest.raises(Exception, match="wrong number of fields"):
