@@ -114,22 +114,38 @@ class Transducer:
     def _read(self, state: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
         window, tails, before = state
         seen = window + bytes([byte])
+        rank_of, starts, fitting = self.ranks.get, self.starts, self._fits.get
+        live: list[tuple[int, ...] | None] = []
+        last, first = None, len(tails)
         for k, tail in enumerate(tails):
-            token = self.ranks.get(seen[k:])
-            if tail is not None and token is not None and self.fits(-1, token) and self.fits(tail[-1] if tail else before, token):
-                last = (*tail, token)
-                break
-        else:
+            if tail is None:
+                if live:
+                    live.append(None)
+                continue
+            part = seen[k:] if k else seen
+            if last is None and (token := rank_of(part)) is not None:
+                left = tail[-1] if tail else before
+                fit = fitting((left, token))
+                if self.fits(left, token) if fit is None else fit:
+                    last = (*tail, token)
+            if part in starts:
+                if not live:
+                    first = k
+                live.append(tail)
+            elif live:
+                live.append(None)
+        if last is None:
             raise AssertionError("some token always fits")
-        live = [tail if tail is not None and seen[k:] in self.starts else None for k, tail in enumerate(tails)]
-        first = next((k for k, tail in enumerate(live) if tail is not None), len(live))
-        live = [*live[first:], last]
-        known = [tail for tail in live if tail is not None]
+        live.append(last)
         sure = 0
-        while sure < min(map(len, known)) and len({tail[sure] for tail in known}) == 1:
-            sure += 1
+        if len(live) == 1:
+            sure = len(last)
+        elif () not in live:
+            known = [tail for tail in live if tail is not None]
+            while sure < min(map(len, known)) and len({tail[sure] for tail in known}) == 1:
+                sure += 1
         emitted = last[:sure]
-        left = tuple(tail if tail is None else tail[sure:] for tail in live)
+        left = tuple([tail if tail is None else tail[sure:] for tail in live]) if sure else tuple(live)
         before = emitted[-1] if emitted else before
         return (seen[first:], left, before if () in left else _ANY_TOKEN), emitted
 
@@ -139,19 +155,19 @@ class Transducer:
         if whole is not None:
             return (whole,)
         out: list[int] = []
-        at = 0
+        at, step = 0, self._next.get
         for byte in word:
-            hit = self._next.get(at << 8 | byte)
+            hit = step(at << 8 | byte)
             if hit is None:
                 if len(self._next) >= TRANSITIONS:
                     here = self._states[at]
                     self._reset()
-                    at = self._number(here)
+                    at, step = self._number(here), self._next.get
                 state, emitted = self._read(self._states[at], byte)
                 hit = self._next[at << 8 | byte] = self._number(state), emitted
-            at = hit[0]
-            if hit[1]:
-                out += hit[1]
+            at, emitted = hit
+            if emitted:
+                out += emitted
         return (*out, *self._states[at][1][-1])
 
     def _number(self, state: tuple) -> int:

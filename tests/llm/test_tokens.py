@@ -103,3 +103,13 @@ def test_the_machine_steps_only_where_characters_are_split(monkeypatch):
 def test_empty_table(spark):
     none = documents(spark).filter("false")
     assert token_counts.count_tokens(none, MODEL).count() == byte_bpe.round_trip(none, RANKS, public.PATTERN).count() == 0
+
+
+def test_a_pair_is_worked_out_once(monkeypatch):
+    asked, fits = [], byte_bpe.Transducer.fits
+    monkeypatch.setattr(byte_bpe.Transducer, "fits", lambda self, left, right: asked.append((left, right)) or fits(self, left, right))
+    machine = byte_bpe.Transducer(byte_bpe.read_ranks(RANKS))
+    words = [a + b for a in ("quor", "vint", "drelm", "é€") for b in ("asku", "ombrel", "ißt", "quork")]
+    for word in words:
+        assert list(machine.encode(word.encode())) in ([machine.ranks.get(word.encode())], machine.merge(word.encode()))
+    assert len(asked) == len(set(asked)) > 50
