@@ -313,18 +313,22 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     """One row per row of ``docs``: the key, ``ids`` (array of int), ``n_tokens`` and ``intact``, whether the ids decode to
     the text.
 
-    Null and empty texts give no ids; repeated rows and null keys give a row each; other columns are left out.
+    Null and empty texts give no ids; repeated rows and null keys give a row each; other columns are left out.  A task
+    gives its tables back at its end, so that workers waiting for other work hold none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
-            for part in chunks(texts, map(len, texts), CHUNK):
-                ids = list(encode_texts(part, ranks_path, pattern))
-                intact = ["".join(decode_ids(x, ranks_path, pattern)) == t for x, t in zip(ids, part, strict=True)]
-                keys = batch.column(0).slice(at, len(part))
-                at += len(part)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(intact)], [key, "ids", "n_tokens", "intact"])
+        try:
+            for batch in batches:
+                texts, at = [t or "" for t in batch.column(1).to_pylist()], 0
+                for part in chunks(texts, map(len, texts), CHUNK):
+                    ids = list(encode_texts(part, ranks_path, pattern))
+                    intact = ["".join(decode_ids(x, ranks_path, pattern)) == t for x, t in zip(ids, part, strict=True)]
+                    keys = batch.column(0).slice(at, len(part))
+                    at += len(part)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array(intact)], [key, "ids", "n_tokens", "intact"])
+        finally:
+            _codec.cache_clear()
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>, n_tokens long, intact boolean")

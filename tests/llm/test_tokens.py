@@ -113,3 +113,16 @@ def test_a_pair_is_worked_out_once(monkeypatch):
     for word in words:
         assert list(machine.encode(word.encode())) in ([machine.ranks.get(word.encode())], machine.merge(word.encode()))
     assert len(asked) == len(set(asked)) > 50
+
+
+def test_tasks_of_the_pipeline_give_their_tables_back(spark):
+    docs = documents(spark, texts()).repartition(4)
+    assert byte_bpe.encoded(docs, RANKS, public.PATTERN).filter("not intact").count() == 0
+
+    def kept(batches):
+        from loanloom.llm import byte_bpe as module
+
+        for batch in batches:
+            yield batch.assign(id=module._codec.cache_info().currsize)
+
+    assert {r.id for r in spark.range(0, 400, 1, 8).mapInPandas(kept, "id long").collect()} == {0}
