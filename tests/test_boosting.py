@@ -1,9 +1,12 @@
 """Early stopping keeps the round that serves the hold-out best."""
 
+import threading
+
 import numpy as np
 
 from loanloom import settings as S
 from loanloom.operators import challengers
+from loanloom.plans import QUERIES, modelling
 
 
 def loans(spark, n=800, signal=2.0):
@@ -47,3 +50,13 @@ def test_no_tree_is_grown_twice_once_the_best_round_is_known(spark, monkeypatch)
     assert again.model.getNumTrees == m.rounds and m.model.numClasses == 2
     ps = m.predict(df, ["loan_seq"]).agg({"p": "min", "*": "count"}).first()
     assert 0 < ps["min(p)"] < 0.5 and ps["count(1)"] == df.count()
+
+
+def test_the_models_of_predict_pd_are_fitted_at_the_same_time(spark, sf, monkeypatch):
+    together = threading.Barrier(3, timeout=60)
+    card, logistic = modelling.card, challengers.fit_logistic_baseline
+    monkeypatch.setattr(modelling, "card", lambda *args: together.wait() >= 0 and card(*args))
+    monkeypatch.setattr(challengers, "fit_logistic_baseline", lambda *args, **more: together.wait() >= 0 and logistic(*args, **more))
+    monkeypatch.setattr(modelling, "boosted", lambda spark, sf: together.wait() >= 0 and logistic(modelling.train_rows(spark, sf), **modelling.FEATS))
+    counts = {r["model"]: r["count"] for r in QUERIES["predict_pd"](spark, sf).groupBy("model").count().collect()}
+    assert set(counts) == {"scorecard", "logistic", "boosted"} and len(set(counts.values())) == 1
