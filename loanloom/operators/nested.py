@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from loanloom.functions import hashing
 from loanloom.operators.bootstrap import uniforms
 from loanloom.operators.challengers import Preparation
 from loanloom.operators.neighbours import nearest_neighbours
-from loanloom.session import write_scratch
+from loanloom.session import discard, write_scratch
 
 VARIANTS = ("unweighted", "class_weights", "smote")
 #: Newton steps at most, the gain in likelihood a step that ends them, rows whose products are held at a time, rows of a rank slice, copies of a stored row.
@@ -66,6 +67,10 @@ class Layout:
         n = self.totals[y] - held(self.totals[y], outer, self.folds)
         return n - (held(n, inner, self.folds) if inner < self.folds else 0)
 
+    def copies(self, number: int) -> tuple[int, int]:
+        """Made-up rows for each minority row of a set, and how many rows, by place, give one more."""
+        return divmod(max(0, self.size(number, 0) - self.size(number, 1)), max(1, self.size(number, 1)))
+
     def trains(self, place: np.ndarray) -> np.ndarray:
         """Rows x (outer, inner) of one seed: whether a row trains."""
         k = self.folds
@@ -73,7 +78,7 @@ class Layout:
         for o in range(k):
             inner = moved(place, o, k) % k
             out[:, o] = (place % k != o)[:, None] & (inner[:, None] != np.arange(k + 1))
-        return out.reshape(len(place), -1)
+        return out.reshape(len(place), k * (k + 1))
 
 
 def class_places(df: DataFrame, y: str, key: str, seeds: Sequence[str]) -> DataFrame:
@@ -94,44 +99,144 @@ def class_places(df: DataFrame, y: str, key: str, seeds: Sequence[str]) -> DataF
 
 
 # ---- minority rows made up for a training set ---------------------------------------------------
-def smote_bases(rows: DataFrame, layout: Layout, k: int) -> DataFrame:
-    """(set, h, first, copies, x, mates): minority rows of every training set with their nearest minority rows in the same set.
+BASE = "set int, h bigint, x array<double>, first int, copies int, mates array<array<double>>"
+_NEAR = "seed int, key string, place bigint, x array<double>, mate_place array<bigint>, mates array<double>, short array<int>"
+#: Made-up points for each file of stored minority rows.
+FILE_POINTS = 1 << 18
+
+
+def nearest_in_sets(rows: DataFrame, layout: Layout, k: int) -> tuple[DataFrame, DataFrame | None]:
+    """Minority rows, once a seed, with as many of their nearest minority rows as their training sets use; and the made-up rows'
+    bases (``BASE``) of the sets in which a row has too few of these, searched again.
 
     Minority rows are searched once for all sets, for more neighbours than needed: a row's nearest ones in a set are the
-    first of them that train there.  Rows left with too few are searched again, in their sets only.  The made-up rows
-    themselves are never stored: ``made_up`` draws the same ones in every pass.
+    first of them that train there, so a row isn't stored once a set.
     """
-    f = layout.folds
+    f, per = layout.folds, layout.sets // layout.seeds
     bad = write_scratch(rows.filter("y = 1").select("seed", F.col("key").cast("string").alias("key"), "place", "x"), "minority")
     near = nearest_neighbours(bad.filter("seed = 0"), "key", "x", int(np.ceil(SPARE * k * (f / (f - 1)) ** 2)))
     links = near.select("key", F.posexplode("neighbours").alias("at", "mate"))
     found = links.join(bad.select("seed", F.col("key").alias("mate"), F.col("place").alias("mate_place"), F.col("x").alias("mate_x")), "mate")
     lists = found.groupBy("seed", "key").agg(F.sort_array(F.collect_list(F.struct("at", "mate_place", "mate_x"))).alias("near"))
+    listed = bad.join(lists, ["seed", "key"], "left").select("seed", "key", "place", "x", F.coalesce("near.mate_place", F.array().cast("array<bigint>")).alias("mate_place"),
+                                                             F.coalesce(F.flatten("near.mate_x"), F.array().cast("array<double>")).alias("mates"))
+    points = sum(max(0, layout.size(s, 0) - layout.size(s, 1)) for s in range(layout.sets))
+    listed = listed.mapInArrow(_used(layout, k), _NEAR).repartition(max(1, points // FILE_POINTS))
+    numbers = F.sequence(F.col("seed") * per, F.col("seed") * per + per - 1)
+    stored = write_scratch(listed.withColumn("h", F.transform(numbers, lambda n: F.xxhash64(F.concat_ws("|", n.cast("string"), "key")))), "mates")
+    short = stored.select(F.explode("short").alias("set"), "key").select("set", F.concat_ws("|", F.col("set").cast("string"), "key").alias("id"))
+    if short.isEmpty():
+        return stored, None
+    own = _in_sets(bad, layout)
+    based = _searched_in_sets(own, own.join(short, ["set", "id"], "left_semi"), k)
+    whole, more = (F.element_at(F.array(*[F.lit(v) for v in values]), F.col("set") + 1) for values in zip(*map(layout.copies, range(layout.sets)), strict=True))
+    all_ = (whole + (F.col("place") < more).cast("int")).cast("int")
+    based = based.filter(F.size("mates") > 0).select("set", F.xxhash64("id").alias("h"), all_.alias("all"), "x", "mates").filter("all > 0")
+    each = F.explode(F.sequence(F.lit(0), F.col("all") - 1, F.lit(COPIES))).alias("first")
+    return stored, write_scratch(based.select("set", "h", "x", each, "all", "mates").select("set", "h", "x", "first", F.least(F.col("all") - F.col("first"), F.lit(COPIES)).alias("copies"), "mates"), "bases")
+
+
+def smote_bases(rows: DataFrame, layout: Layout, k: int) -> DataFrame:
+    """(set, h, x, first, copies, mates): minority rows of every training set with their nearest minority rows in the same set.
+
+    The made-up rows themselves are never stored: ``made_up`` draws the same ones in every pass.
+    """
+    stored, searched = nearest_in_sets(rows, layout, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, h, x, first, copies, count, begin, mates in _by_set(batch, layout, k):
+                each = [mates[b:b + c].tolist() for b, c in zip(begin, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), number, np.int32)), pa.array(h), pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(first.astype(np.int32)),
+                                                  pa.array(copies.astype(np.int32)), pa.array(each, pa.list_(pa.list_(pa.float64())))], ["set", "h", "x", "first", "copies", "mates"])
+
+    bases = stored.mapInArrow(run, BASE)
+    return bases if searched is None else bases.unionByName(searched)
+
+
+def _in_sets(bad: DataFrame, layout: Layout) -> DataFrame:
+    """(set, id, place, x): every row in each set that it trains, with its place there."""
+    f = layout.folds
     outer = F.filter(F.sequence(F.lit(0), F.lit(f - 1)), lambda o: o != F.col("place") % f)
-    own = bad.join(lists, ["seed", "key"], "left").withColumn("outer", F.explode(outer))
-    after = moved_column(F.col("place"), F.col("outer"), f)
-    inner = F.filter(F.sequence(F.lit(0), F.lit(f)), lambda i: i != F.col("after") % f)
-    own = own.withColumn("after", after).withColumn("inner", F.explode(inner))
+    own = bad.withColumn("outer", F.explode(outer)).withColumn("after", moved_column(F.col("place"), F.col("outer"), f))
+    own = own.withColumn("inner", F.explode(F.filter(F.sequence(F.lit(0), F.lit(f)), lambda i: i != F.col("after") % f)))
     last = F.when(F.col("inner") == f, F.col("after")).otherwise(moved_column(F.col("after"), F.col("inner"), f))
     number = layout.number(F.col("seed"), F.col("outer"), F.col("inner")).cast("int")
-    trains = F.filter("near", lambda m: (m["mate_place"] % f != F.col("outer")) & (moved_column(m["mate_place"], F.col("outer"), f) % f != F.col("inner")))
-    own = own.select(number.alias("set"), F.concat_ws("|", number.cast("string"), "key").alias("id"), last.alias("place"), "x",
-                     F.transform(F.slice(trains, 1, k), lambda m: m["mate_x"]).alias("mates"))
-    own = write_scratch(own, "mates")
-    need = [max(0, layout.size(s, 0) - layout.size(s, 1)) for s in range(layout.sets)]
-    bads = [max(1, layout.size(s, 1)) for s in range(layout.sets)]
-    whole, more = (F.element_at(F.array(*[F.lit(v) for v in values]), F.col("set") + 1)
-                   for values in ([n // b for n, b in zip(need, bads)], [n % b for n, b in zip(need, bads)]))
-    copies = whole + (F.col("place") < more).cast("int")
-    full = F.least(F.lit(k), F.element_at(F.array(*[F.lit(layout.size(s, 1)) for s in range(layout.sets)]), F.col("set") + 1) - 1)
-    enough = F.coalesce(F.size("mates") >= full, F.lit(False))
-    short = own.filter(~enough)
-    based = own.filter(enough)
-    if not short.isEmpty():
-        based = based.unionByName(_searched_in_sets(own, short, k))
-    based = based.filter(F.size("mates") > 0).select("set", F.xxhash64("id").alias("h"), copies.cast("int").alias("all"), "x", "mates").filter("all > 0")
-    each = F.explode(F.sequence(F.lit(0), F.col("all") - 1, F.lit(COPIES))).alias("first")
-    return based.select("set", "h", each, "all", "x", "mates").withColumn("copies", F.least(F.col("all") - F.col("first"), F.lit(COPIES))).drop("all")
+    return own.select(number.alias("set"), F.concat_ws("|", number.cast("string"), "key").alias("id"), last.alias("place"), "x")
+
+
+def _matrix(column: pa.ListArray, rows: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows, -1) if rows else flat.reshape(0, 1)
+
+
+def _mates(batch: pa.RecordBatch, layout: Layout, k: int):
+    """Of stored rows: their number of mates, and for every set of a seed, whether a mate is one of a row's first k there, and how many those are."""
+    count = batch.column("mate_place").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    trains = layout.trains(batch.column("mate_place").flatten().to_numpy(zero_copy_only=False))
+    so_far = np.vstack([np.zeros((1, trains.shape[1]), np.int64), np.cumsum(trains, axis=0)])
+    ends = np.cumsum(count)
+    pick = trains & (so_far[1:] - so_far[np.repeat(ends - count, count)] <= k)
+    return count, pick, np.minimum(k, so_far[ends] - so_far[ends - count])
+
+
+def _enough(batch: pa.RecordBatch, layout: Layout, k: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x sets of their seed: whether a row trains, whether the mates found are all there are or k, and the sets' numbers."""
+    place, seed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("place", "seed"))
+    per = layout.sets // layout.seeds
+    full = np.array([min(k, layout.size(s, 1) - 1) for s in range(layout.sets)])
+    numbers = seed[:, None] * per + np.arange(per)
+    return layout.trains(place), found >= full[numbers], numbers
+
+
+def _used(layout: Layout, k: int):
+    """Leaves out the mates that no set of a row uses, and adds the sets in which the row has too few (``_NEAR``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            count, pick, found = _mates(batch, layout, k)
+            trains, enough, numbers = _enough(batch, layout, k, found)
+            owner = np.repeat(np.arange(len(count)), count)
+            keep = (pick & (trains & enough)[owner]).any(axis=1)
+            kept = np.bincount(owner[keep], minlength=len(count))
+            ends = np.append(0, np.cumsum(kept)).astype(np.int32)
+            place = batch.column("mate_place").flatten().to_numpy(zero_copy_only=False)[keep]
+            mates = _matrix(batch.column("mates"), len(keep))[keep]
+            lists = pa.ListArray.from_arrays(pa.array(ends * mates.shape[1]), pa.array(mates.ravel()))
+            short = pa.array([n[s].tolist() for n, s in zip(numbers, trains & ~enough)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("seed", "key", "place", "x")), pa.ListArray.from_arrays(pa.array(ends), pa.array(place)), lists, short],
+                                             ["seed", "key", "place", "x", "mate_place", "mates", "short"])
+
+    return run
+
+
+def _by_set(batch: pa.RecordBatch, layout: Layout, k: int) -> Iterator[tuple]:
+    """(set, h, x, first, copies, count, begin, mates) for each set: the bases there, a row's mates from ``begin`` on."""
+    rows, per, folds = batch.num_rows, layout.sets // layout.seeds, layout.folds
+    if not rows:
+        return
+    count, pick, found = _mates(batch, layout, k)
+    trains, enough, numbers = _enough(batch, layout, k, found)
+    place, h, x = batch.column("place").to_numpy(zero_copy_only=False), _matrix(batch.column("h"), rows), _matrix(batch.column("x"), rows)
+    near, owner = _matrix(batch.column("mates"), int(count.sum())), np.repeat(np.arange(rows), count)
+    for number in np.unique(numbers[:, 0])[:, None] + np.arange(per):
+        for s, n in enumerate(number):
+            _seed, outer, inner = layout.parts(int(n))
+            after = moved(place, outer, folds)
+            last = after if inner == folds else moved(after, inner, folds)
+            whole, more = layout.copies(int(n))
+            copies = np.where((numbers[:, s] == n) & trains[:, s] & enough[:, s] & (found[:, s] > 0), whole + (last < more), 0)
+            mine = np.flatnonzero(copies)
+            if len(mine):
+                chosen = pick[:, s] & (copies > 0)[owner]
+                held_by = found[mine, s]
+                begin = np.cumsum(held_by) - held_by
+                parts = -(-copies[mine] // COPIES)
+                row = np.repeat(np.arange(len(mine)), parts)
+                first = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * COPIES
+                yield int(n), h[mine, s][row], x[mine][row], first, np.minimum(copies[mine][row] - first, COPIES), held_by[row], begin[row], near[chosen]
 
 
 def _searched_in_sets(own: DataFrame, short: DataFrame, k: int) -> DataFrame:
@@ -141,7 +246,7 @@ def _searched_in_sets(own: DataFrame, short: DataFrame, k: int) -> DataFrame:
     links = near.select(F.col("key").alias("id"), F.posexplode("neighbours").alias("at", "mate"))
     found = links.join(members.select(F.col("id").alias("mate"), F.col("x").alias("mate_x")), "mate")
     mates = found.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mate_x"))), lambda m: m["mate_x"]).alias("mates"))
-    return short.drop("mates").join(mates, "id")
+    return short.join(mates, "id")
 
 
 def moved_column(place, fold, folds: int):
@@ -154,11 +259,15 @@ def made_up(h: np.ndarray, first: np.ndarray, copies: np.ndarray, x: np.ndarray,
 
     A copy depends on its row's hash and its own number only.
     """
+    count = np.array([len(m) for m in mates])
+    return _points(h, first, copies, x, count, np.cumsum(count) - count, np.concatenate(mates))
+
+
+def _points(h: np.ndarray, first: np.ndarray, copies: np.ndarray, x: np.ndarray, count: np.ndarray, begin: np.ndarray, mates: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(h)), copies)
     number = 2 * (np.arange(len(owner)) - np.repeat(np.cumsum(copies) - copies, copies) + first[owner]).astype(np.int64)
-    count = np.array([len(m) for m in mates])
-    at = np.cumsum(count)[owner] - count[owner] + (uniforms(h[owner], number) * count[owner]).astype(np.int64)
-    return x[owner] + uniforms(h[owner], number + 1)[:, None] * (np.concatenate(mates)[at] - x[owner])
+    at = begin[owner] + (uniforms(h[owner], number) * count[owner]).astype(np.int64)
+    return x[owner] + uniforms(h[owner], number + 1)[:, None] * (mates[at] - x[owner])
 
 
 # ---- all models at once -------------------------------------------------------------------------
@@ -184,6 +293,10 @@ class _Sums:
 
     def add(self, numbers: np.ndarray, x: np.ndarray, y, weights: np.ndarray, counts: np.ndarray) -> None:
         """Rows x under models ``numbers`` (columns of ``weights``); ``counts`` says how much a row counts in each."""
+        if weights.shape[1] == 1:  # of one model the curvature is one product of matrices, without the products of every row
+            p, n = _expit(x @ weights[:, 0]), counts[:, 0]
+            self.values[numbers[0]] += np.append((n * (np.ravel(y) - p)) @ x, ((x * (n * p * (1 - p))[:, None]).T @ x)[self.upper])
+            return
         p = _expit(x @ weights)
         products = x[:, self.upper[0]] * x[:, self.upper[1]]
         y = np.asarray(y, dtype=np.float64).reshape(-1, 1)
@@ -196,6 +309,7 @@ class _Sums:
 
 
 SUMS = "model int, at int, value double"
+SUMS_SCHEMA = pa.schema([("model", pa.int32()), ("at", pa.int32()), ("value", pa.float64())])
 
 
 def _real_sums(layout: Layout, weights: np.ndarray, variants: Sequence[str]):
@@ -219,20 +333,38 @@ def _real_sums(layout: Layout, weights: np.ndarray, variants: Sequence[str]):
     return run
 
 
-def _made_up_sums(layout: Layout, weights: np.ndarray, variant: int):
+def _made_up_sums(layout: Layout, weights: np.ndarray, variant: int, k: int):
+    """Sums over made-up rows, drawn from stored minority rows (once a seed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums(*weights.shape)
+        for batch in batches:
+            for number, h, x, first, copies, count, begin, mates in _by_set(batch, layout, k):
+                _add_points(sums, variant * layout.sets + number, weights, h, first, copies, x, count, begin, mates)
+        yield pa.RecordBatch.from_pandas(sums.frame(), schema=SUMS_SCHEMA, preserve_index=False)
+
+    return run
+
+
+def _add_points(sums: _Sums, model: int, weights: np.ndarray, h, first, copies, x, count, begin, mates) -> None:
+    ends = np.flatnonzero(np.diff(np.cumsum(copies) // HELD_ROWS)) + 1
+    for rows in np.split(np.arange(len(h)), ends):
+        new = _points(h[rows], first[rows], copies[rows], x[rows], count[rows], begin[rows], mates)
+        ones = np.hstack([np.ones((len(new), 1)), new])
+        sums.add(np.array([model]), ones, 1.0, weights[[model]].T, np.ones((len(ones), 1)))
+
+
+def _searched_sums(layout: Layout, weights: np.ndarray, variant: int):
+    """Sums over made-up rows of the sets that were searched again."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = _Sums(*weights.shape)
         for batch in batches:
             for number, part in batch.groupby("set"):
-                at = np.array([variant * layout.sets + number])
-                h, start, copies = (part[c].to_numpy() for c in ("h", "first", "copies"))
-                x, mates = np.stack(part["x"].to_numpy()), [np.stack(m) for m in part["mates"]]
-                ends = np.flatnonzero(np.diff(np.cumsum(copies) // HELD_ROWS)) + 1
-                for rows in np.split(np.arange(len(part)), ends):
-                    new = made_up(h[rows], start[rows], copies[rows], x[rows], [mates[i] for i in rows])
-                    for piece in _pieces(len(new)):
-                        ones = np.hstack([np.ones((len(new[piece]), 1)), new[piece]])
-                        sums.add(at, ones, 1.0, weights[at].T, np.ones((len(ones), 1)))
+                h, first, copies = (part[c].to_numpy() for c in ("h", "first", "copies"))
+                count = np.array([len(m) for m in part["mates"]])
+                mates = np.concatenate([np.stack(m) for m in part["mates"]])
+                _add_points(sums, variant * layout.sets + number, weights, h, first, copies, np.stack(part["x"].to_numpy()), count, np.cumsum(count) - count, mates)
         yield sums.frame()
 
     return run
@@ -263,16 +395,45 @@ def _newton(step_sums, models: int, width: int, ridge: np.ndarray, start: np.nda
     return weights
 
 
+def _whole_sums(ratio: float, weights: np.ndarray):
+    """Sums over the rows of one seed, all of them training: unweighted, and with bads that count as much as goods."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = _Sums(*weights.shape)
+        for batch in batches:
+            if len(batch):
+                x, y = _with_one(batch["x"]), batch["y"].to_numpy()
+                for model, heavy in enumerate((1.0, ratio)):
+                    sums.add(np.array([model]), x, y, weights[[model]].T, np.where(y == 1, heavy, 1.0)[:, None])
+        yield sums.frame()
+
+    return run
+
+
 def fit_sets(rows: DataFrame, layout: Layout, width: int, variants: Sequence[str], neighbours: int = 5) -> np.ndarray:
-    """Coefficients (intercept first) of every (variant, training set): logistic, C = 1 on the summed loss."""
-    models = len(variants) * layout.sets
-    bases = write_scratch(smote_bases(rows, layout, neighbours), "bases") if "smote" in variants else None
+    """Coefficients (intercept first) of every (variant, training set): logistic, C = 1 on the summed loss.
 
-    def sums(weights: np.ndarray) -> DataFrame:
-        out = rows.select("seed", "place", "y", "x").mapInPandas(_real_sums(layout, weights, variants), SUMS)
-        return out if bases is None else out.unionByName(bases.mapInPandas(_made_up_sums(layout, weights, variants.index("smote")), SUMS))
+    Sets are large parts of the same rows, so their fits begin where the fit of all rows ends (made-up bads: where bads
+    count as much as goods) and take few of the passes in which every set has its sums.
+    """
+    models, ridge = len(variants) * layout.sets, np.append(0.0, np.ones(width))
+    stored, searched = nearest_in_sets(rows, layout, neighbours) if "smote" in variants else (None, None)
+    narrow = rows.select("seed", "place", "y", "x")
+    ratio = layout.totals[0] / max(1, layout.totals[1])
+    whole = _newton(lambda w: narrow.filter("seed = 0").mapInPandas(_whole_sums(ratio, w), SUMS), 2, width + 1, ridge, np.zeros((2, width + 1)))
 
-    return _newton(sums, models, width + 1, np.append(0.0, np.ones(width)), np.zeros((models, width + 1)))
+    def sums(weights: np.ndarray) -> DataFrame:
+        out = narrow.mapInPandas(_real_sums(layout, weights, variants), SUMS)
+        if stored is not None:
+            out = out.unionByName(stored.mapInArrow(_made_up_sums(layout, weights, variants.index("smote"), neighbours), SUMS))
+        if searched is not None:
+            out = out.unionByName(searched.mapInPandas(_searched_sums(layout, weights, variants.index("smote")), SUMS))
+        return out
+
+    start = np.concatenate([np.tile(whole[int(v != "unweighted")], (layout.sets, 1)) for v in variants])
+    weights = _newton(sums, models, width + 1, ridge, start)
+    discard(*(t for t in (stored, searched) if t is not None))
+    return weights
 
 
 def fit_calibrators(rows: DataFrame, layout: Layout, weights: np.ndarray, variants: Sequence[str]) -> np.ndarray:

@@ -176,3 +176,25 @@ def test_neighbours_are_searched_once_for_all_sets(placed, monkeypatch):
     monkeypatch.setattr(nested, "SPARE", 0.25)
     again = _nearest_sets(nested.smote_bases(placed, layout, 4))
     assert len(searched) == 3 and again == once and all(len(m) == 4 for m in once.values())
+
+
+def test_minority_rows_are_stored_once_a_seed_and_fits_begin_at_the_fit_of_all_rows(placed, monkeypatch):
+    """They were stored once for each set that they train, and every set's fit began at zero."""
+    layout = nested.Layout(len(SEEDS), FOLDS, tuple(placed.filter("seed = 0").filter(F.col("y") == y).count() for y in (0, 1)))
+    stored, _searched = nested.nearest_in_sets(placed, layout, 4)
+    assert stored.count() == layout.totals[1] * len(SEEDS)
+    starts, newton = {}, nested._newton
+    monkeypatch.setattr(nested, "_newton", lambda sums, models, width, ridge, start: starts.update({models: start}) or newton(sums, models, width, ridge, start))
+    nested.fit_sets(placed, layout, len(placed.first()["x"]), list(nested.VARIANTS))
+    assert not starts[2].any() and starts[3 * layout.sets].all(axis=1).all()
+
+
+def test_sums_of_one_model_are_those_of_many():
+    draw = np.random.default_rng(1)
+    x, y, weights = draw.standard_normal((50, 4)), draw.integers(0, 2, 50), draw.standard_normal((4, 2))
+    counts = draw.random((50, 2))
+    many, each = nested._Sums(2, 4), nested._Sums(2, 4)
+    many.add(np.arange(2), x, y, weights, counts)
+    for m in range(2):
+        each.add(np.array([m]), x, y, weights[:, [m]], counts[:, [m]])
+    assert np.allclose(many.values, each.values)
