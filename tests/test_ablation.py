@@ -46,3 +46,16 @@ def test_arms_are_fitted_at_the_same_time(rows, monkeypatch):
     monkeypatch.setattr(challengers, "fit_arm", lambda *args: together.wait() >= 0 and fit(*args))
     arms = challengers.imbalance_ablation(rows, rows, 2, numeric=["a", "b"], categorical=["c"])
     assert [a.arm for a in arms] == list(challengers.ARMS)
+
+
+def test_rows_of_the_arms_are_prepared_while_the_number_of_trees_is_found(rows, monkeypatch):
+    prepared, ready = threading.Semaphore(0), challengers.arm_rows
+    monkeypatch.setattr(challengers, "arm_rows", lambda *args: [ready(*args), prepared.release()][0])
+    found = []
+
+    def trees():
+        found.append(all(prepared.acquire(timeout=120) for _ in challengers.ARMS))
+        return 2
+
+    arms = challengers.imbalance_ablation(rows, rows, trees, numeric=["a", "b"], categorical=["c"])
+    assert found == [True] and [a.model.model.getNumTrees for a in arms] == [2] * 3
